@@ -7,24 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import pii, quality_rules
 from tessera.llm.common import table
 from tessera.llm.packing import pack_pieces, token_pieces
 from tessera.llm.token_output import read_token_documents, token_output
 
 
+#: A deployment passes its own secret; this one makes results repeatable.
+PII_KEY = "example-key"
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_documents(token_output(spark, table(spark, sf_dir, "documents")), digest=True)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"))
     digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack_pieces(spark, digest)
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, count_col="n_pseudonyms")
+    return docs.select("doc_id", "text", "n_pseudonyms")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op6_quality_rules": op6_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
 #: None of these has an equivalent that SQL can run on whole tables.
