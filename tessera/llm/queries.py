@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pii, quality_rules
+from tessera.llm import context_tree, pii, quality_rules
 from tessera.llm.common import table
 from tessera.llm.packing import pack_pieces, token_pieces
 from tessera.llm.token_output import read_token_documents, token_output
@@ -21,6 +21,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_documents(token_output(spark, table(spark, sf_dir, "documents")), digest=True)
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op5_context_tree": op5_context_tree,
     "op6_quality_rules": op6_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
