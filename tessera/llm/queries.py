@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import context_tree, pii, quality_classifier, quality_rules, toxicity
 from tessera.llm.common import table
+from tessera.llm.jaccard_join import Rule, jaccard_components
 from tessera.llm.packing import pack_pieces, token_pieces
 from tessera.llm.token_output import read_token_documents, token_output
 
@@ -21,6 +22,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_documents(token_output(spark, table(spark, sf_dir, "documents")), digest=True)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), Rule(words=3, num=90))
+
+
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_context_tree": op5_context_tree,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
