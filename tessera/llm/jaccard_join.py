@@ -200,9 +200,9 @@ def _profiles(docs: DataFrame, rule: Rule, classes, boundary: int) -> DataFrame:
                 rows.append((n, *_signature(s), _long(light), _long(heavy)))
             if rows:
                 n, a, c, light, heavy = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(light, pa.list_(pa.int64())), pa.array(heavy, pa.list_(pa.int64()))], ["doc_id", "n", "sig1", "sig2", "light", "heavy"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(light, pa.list_(pa.int64())), pa.array(heavy, pa.list_(pa.int64()))], ["doc_id", "row", "n", "sig1", "sig2", "light", "heavy"])
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, sig1 long, sig2 long, light array<long>, heavy array<long>")
+    return docs.select("doc_id", "text", "row").mapInArrow(profile, "doc_id long, row long, n long, sig1 long, sig2 long, light array<long>, heavy array<long>")
 
 
 def _pair_bound(rule: Rule, n: str, m: str) -> str:
@@ -287,12 +287,14 @@ def _verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, classes: D
     return links
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id and n_links (links of the
-    class to others that were needed) of every row."""
+def jaccard_components(spark: SparkSession, docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, group_id and n_links (links
+    of the class to others that were needed) of every row; group_id tells
+    components apart even without doc_ids and is null for empty sets.  ``row``
+    repeats ``row_col`` of the input."""
     tune(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     cells, sizes = _sketch(docs, rule)
     boundary = _boundary(rule, sizes)
     order = spark.sparkContext.broadcast(cells.tobytes())
@@ -333,8 +335,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, rule: Rule = Rule()
     joined = classes.join(labels, "node", "left").join(ends, "node", "left").select("sig1", "sig2", "node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("count", F.lit(0)).alias("n_links"))
     joined = scratch.save(joined, "joined")
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    whole = scratch.save(joined.join(least, "label").select("sig1", "sig2", "node", "component_id", "n_links"), "named")
+    whole = scratch.save(joined.join(least, "label").select("sig1", "sig2", "node", "label", "component_id", "n_links"), "named")
     scratch.drop("posts", "marked", "open", "hubs", "mixed", "joined")
-    out = rows.select("doc_id", "n", "sig1", "sig2").join(whole, ["sig1", "sig2"], "left")
+    out = rows.select("doc_id", "row", "n", "sig1", "sig2").join(whole, ["sig1", "sig2"], "left")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~empty, F.col("node")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~empty, F.col("node")).alias("class_id"), F.when(~empty, F.col("label")).alias("group_id"), "row", F.coalesce("n_links", F.lit(0)).alias("n_links"))

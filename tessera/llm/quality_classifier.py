@@ -1,6 +1,6 @@
 """Histogram gradient-boosted trees over document statistics.
 
-Whole-text statistics of every document are computed once, in Arrow batches.
+Whole-text statistics of every document are computed in Arrow batches.
 The trees are fitted at the driver on a sample of at most ``TRAIN_ROWS``
 labelled rows (the rows with the smallest hash of their id; a documented bound
 of labelled data only), with quantile bins, histograms by node and logistic
@@ -13,7 +13,8 @@ Defined cases: a null or empty text has zero statistics and gets a score; rows
 without a label are never trained on; rows that share a doc_id are scored
 separately, and a label of that id counts for each; without labelled rows, or
 with one class only, every score is the share of good labels (0.5 without);
-extra columns are ignored.
+other columns pass through
+(earlier ``score`` and ``predicted`` columns are replaced).
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, crc_mod, tune
+from tessera.llm.common import crc_mod, tune
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE = 60, 4, 64, 0.2
@@ -160,43 +162,39 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(np.array(feature), np.array(threshold), np.array(left), np.array(value), np.array(roots), prior)
 
 
-def document_statistics(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
-    """``keep`` and the array ``stats`` of every document."""
-    tune(docs.sparkSession)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stats = [statistics(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(stats, pa.list_(pa.float32()))], [*b.schema.names[:-1], "stats"])
-
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(measure, f"{fields}, stats array<float>")
+def fit_classifier(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: tuple[int, int] = (4, 2), rows: int = TRAIN_ROWS) -> Trees:
+    """Trees fitted on at most ``rows`` labelled documents outside the fold."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", held_out[0]) != held_out[1])).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
+    chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(_measured, "doc_id long, y double, stats array<float>").toArrow().sort_by("doc_id")
+    x = np.array(sample.column("stats").to_pylist(), "f4").reshape(sample.num_rows, len(STATS))
+    return fit_trees(x, sample.column("y").to_numpy())
 
 
-def training_sample(stats: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``rows`` labelled documents."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    got = stats.where("NOT held_out").join(known, "doc_id").select("stats", "_y", order.alias("_o"), "doc_id").orderBy("_o", "doc_id").limit(rows).toArrow()
-    x = np.array(got.column("stats").to_pylist(), "f4").reshape(got.num_rows, -1)
-    return x, got.column("_y").to_numpy().astype("f8")
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        stats = [statistics(t or "") for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(stats, pa.list_(pa.float32()))], ["doc_id", "y", "stats"])
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: tuple[int, int] = (4, 2), threshold: float = 0.7, train_rows: int = TRAIN_ROWS, row_id: str | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document (and ``row_id``,
-    a column of ``docs`` to carry along)."""
-    scratch = Scratch(spark, "quality-classifier")
-    keep = [row_id] if row_id else []
-    rows = docs.withColumn("held_out", crc_mod("doc_id", held_out[0]) == held_out[1]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    stats = scratch.save(document_statistics(rows, *keep, "doc_id", "held_out"), "stats")
-    trees = fit_trees(*training_sample(stats, labels, label, train_rows))
+def classified(docs: DataFrame, trees: Trees, *, threshold: float = 0.7) -> DataFrame:
+    """``docs`` with score and predicted; all other columns pass through."""
+    tune(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(b.num_columns - 1).values.to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, len(STATS)))
-            s = trees.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype("i4"))], [*b.schema.names[:-1], "score", "predicted"])
+            x = np.array([statistics(t or "") for t in b.column("text").to_pylist()], "f4").reshape(b.num_rows, len(STATS))
+            s = model.value.score(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype("i4"))], [*b.schema.names, "score", "predicted"])
+
+    rows = docs.drop("score", "predicted")
+    fields = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(score, fields)
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields[:-1])
-    return stats.mapInArrow(score, f"{fields}, score double, predicted int")
+def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, held_out: tuple[int, int] = (4, 2), **options) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    tune(spark)
+    scored = classified(docs.select("doc_id", "text"), fit_classifier(docs, labels, held_out=held_out, **options))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", held_out[0]) == held_out[1]).alias("held_out"), "score", "predicted")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import context_tree, pii, quality_classifier, quality_rules, toxicity
+from tessera.llm import context_tree, embedding_dedup, mixing, pii, quality_classifier, quality_rules, toxicity
 from tessera.llm.common import table
 from tessera.llm.jaccard_join import Rule, jaccard_components
 from tessera.llm.packing import pack_pieces, token_pieces
@@ -16,6 +16,8 @@ from tessera.llm.token_output import read_token_documents, token_output
 
 #: A deployment passes its own secret; this one makes results repeatable.
 PII_KEY = "example-key"
+#: Weights of expected tokens by domain.
+MIX_TARGETS = {"clean": 0.9, "poor": 0.04, "toxic": 0.06}
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark, table(spark, sf_dir, "documents"), Rule(words=3, num=90))
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), Rule(words=3, num=90)).drop("row")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(spark, table(spark, sf_dir, "documents"), labelled, MIX_TARGETS)
+    share = [F.coalesce(F.col("posterior")[d], F.lit(0.0)).alias(f"p_{d}") for d in MIX_TARGETS]
+    return mixed.select("doc_id", "n_tokens", *share, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +69,8 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_mixing": op3_mixing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_context_tree": op5_context_tree,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
