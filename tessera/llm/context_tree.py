@@ -147,6 +147,41 @@ def log10_of(levels: dict[int, Level], keys: np.ndarray, depth: int = DEPTH) ->
     return out
 
 
+class KeyTable:
+    """Open-addressing hash table of keys to values; all keys asked for exist."""
+
+    _FREE = np.uint64((1 << 64) - 1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self._keys, self._values = np.full(1 << bits, self._FREE), np.zeros(1 << bits, "f4")
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = np.flatnonzero(self._keys[at] == self._FREE)
+            slots, first = np.unique(at[free], return_index=True)
+            put = left[free[first]]
+            self._keys[slots], self._values[slots] = keys[put], values[put]
+            stay = np.ones(len(left), bool)
+            stay[free[first]] = False
+            left, at = left[stay], (at[stay] + 1) & self._mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype("i8")
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        out = self._values[at]
+        left = np.flatnonzero(self._keys[at] != keys)
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self._mask
+            hit = self._keys[at] == keys[left]
+            out[left[hit]] = self._values[at[hit]]
+            left, at = left[~hit], at[~hit]
+        return out
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
@@ -238,6 +273,17 @@ def _model(scratch: Scratch, counts: DataFrame) -> tuple[np.ndarray, np.ndarray,
     return keys[order], values[order], depth
 
 
+_TABLES: dict[str, KeyTable] = {}
+
+
+def _table(name: str, model) -> KeyTable:
+    """The table of a broadcast model, built once per Python worker."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = KeyTable(*(np.frombuffer(x, t) for x, t in zip(model.value, ("u8", "f4"), strict=True)))
+    return _TABLES[name]
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_modulus: int = 10, hot_words: int = HOT_WORDS) -> DataFrame:
     """Fit on the rows not held out, score all rows."""
     tune(spark)
@@ -249,7 +295,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     keys, values, depth = _model(scratch, counts.where("kind = 0").select("key", "n"))
     model = spark.sparkContext.broadcast((keys.tobytes(), values.tobytes()))
     del keys, values
-    drop = np.uint64(8 * (DEPTH - depth))
+    drop, name = np.uint64(8 * (DEPTH - depth)), scratch.path
 
     vocabulary = counts.where("kind = 1").select("word", "n")
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -262,7 +308,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     end_score = float(np.log10(ends + 0.1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, value = (np.frombuffer(x, t) for x, t in zip(model.value, ("u8", "f4"), strict=True))
+        known = _table(name, model)
         logs = {w: float(np.log10(c + 0.1)) for w, c in hot_table.value.items()}
         for b in batches:
             texts = [t.encode() for t in b.column(0).to_pylist()]
@@ -275,7 +321,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
                     e += 1
                 k, starts = keys_of(texts[a:e])
                 k = ((k >> np.uint64(8) >> drop) << np.uint64(8)) | (k & np.uint64(255))
-                code[a:e] = np.add.reduceat(value[np.searchsorted(at, k)].astype("f8"), starts)
+                code[a:e] = np.add.reduceat(known.get(k).astype("f8"), starts)
                 a = e
             tokens, sums, hits, cold = [], [], [], []
             for t in texts:
