@@ -6,22 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SIGN = -(1 << 63)
-#: Shift and mask of each doubling step.
-_STEPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+_EVEN = 0x5555555555555555
 
 
 def _spread(v: Column) -> Column:
-    for shift, mask in _STEPS:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    """Bits moved to the even places: binary digits read to base four."""
+    return F.conv(F.bin(v), 4, 10).cast("long")
 
 
 def _gather(v: Column) -> Column:
-    v = v.bitwiseAND(F.lit(_STEPS[-1][1]))
-    masks = [m for _, m in _STEPS[::-1]][1:] + [0xFFFFFFFF]
-    for (shift, _), mask in zip(_STEPS[::-1], masks, strict=True):
-        v = v.bitwiseOR(F.shiftrightunsigned(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    return F.conv(F.conv(v.bitwiseAND(F.lit(_EVEN)).cast("string"), 10, 4), 2, 10).cast("long")
 
 
 def truncated(v: Column, mapbits: int) -> Column:

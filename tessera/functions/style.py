@@ -133,8 +133,14 @@ def snapped(frac: Column, tilesize: int) -> Column:
     return (F.floor(frac * tilesize) + 0.5) / tilesize
 
 
+def _whole(v: Column) -> Column:
+    """Truncated, where a value a rounding step below a whole number counts
+    as that number: results then agree whatever the order of the sums."""
+    return F.round(v, 9).cast("int")
+
+
 def _byte(v: Column) -> Column:
-    return F.least(F.greatest(v.cast("int"), F.lit(0)), F.lit(255))
+    return F.least(F.greatest(_whole(v), F.lit(0)), F.lit(255))
 
 
 def tone_map(image: Column, cx: Column, cy: Column, s: Style) -> tuple[Column, Column, Column, Column]:
@@ -152,7 +158,7 @@ def tone_map(image: Column, cx: Column, cy: Column, s: Style) -> tuple[Column, C
         else:
             turned = -(h / (2 * math.pi) + 0.5)
             wave = 255 * F.pow(F.sin(math.pi * (turned + k / 3)), F.lit(2.0))
-            mids.append(F.when(coloured, (wave * sat + c * (1 - sat)).cast("int")).otherwise(F.lit(c)))
+            mids.append(F.when(coloured, _whole(wave * sat + c * (1 - sat))).otherwise(F.lit(c)))
     level = image
     if s.gamma != 1:
         level = F.when(image != 0, F.pow(image, F.lit(s.gamma))).otherwise(F.lit(0.0))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,20 +13,26 @@ _META = "version int, mapbits int, metabits int, maxn int"
 
 
 def ranked(points: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Points with rank (0-based place in key order) and lod (its trailing
-    zero bits).  Ranges of keys are sorted side by side; only the sizes of the
-    ranges are added up at the driver."""
+    """Points (qkey, meta, x, y) with rank (0-based place in key order) and
+    lod (its trailing zero bits).
+
+    Equal points are interchangeable and counted first, so a crowded place is
+    one row.  Ranges of keys, cut at quantiles, are numbered side by side;
+    only the sizes of the ranges are added up at the driver.
+    """
     n = partitions or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.repartitionByRange(n, "qkey", "meta").sortWithinPartitions("qkey", "meta").withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for p in range(max(sizes, default=0) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    offset = F.get(F.array(*(F.lit(s).cast("long") for s in starts)), part.cast("int"))
-    rank = offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.withColumn("rank", rank).drop("_at")
+    keys = points.groupBy("qkey", "meta", "x", "y").agg(F.count("*").alias("_n"))
+    cuts = keys.agg(F.percentile_approx("qkey", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("qkey"))) if cuts else F.lit(0)
+    keys = keys.withColumn("_part", part)
+    sizes = {r["_part"]: r["n"] for r in keys.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
+    starts = [0]
+    for p in range(len(cuts)):
+        starts.append(starts[-1] + sizes.get(p, 0))
+    before = Window.partitionBy("_part").orderBy("qkey", "meta").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.get(F.array(*(F.lit(s).cast("long") for s in starts)), F.col("_part")) + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    rows = keys.withColumn("_first", first).select("qkey", "meta", "x", "y", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("rank"))
     lowest = F.col("rank").bitwiseAND(-F.col("rank"))
     return rows.withColumn("lod", F.when(F.col("rank") == 0, 63).otherwise(F.length(F.bin(lowest)) - 1).cast("int"))
 
@@ -102,7 +106,3 @@ def merge(spark: SparkSession, out: str, *paths: str, unique: bool = False) -> N
 def inventory(rows: DataFrame) -> DataFrame:
     """Records of each (legs, level)."""
     return rows.groupBy("legs", "level").agg(F.count("*").alias("records"))
-
-
-def properties(meta: dict) -> str:
-    return json.dumps(meta)

@@ -296,13 +296,9 @@ def dump_geojson(spark, sf_dir):
 
 @query(f"{with_('tp', 'seg')} select user_id, seq, x0, y0, x1, y1, user_id % 7 as meta from seg")
 def dump_round_trip(spark, sf_dir):
-    lines = dump_text(spark, sf_dir).withColumnRenamed("line", "value")
-    back = text.read_dump(lines.select(F.struct("user_id", "seq", "value").alias("v")).select("v.*"))
-    named = lines.select("user_id", "seq", "value")
-    parsed = named.select("user_id", "seq", F.split(F.regexp_extract("value", "// (.*)", 1), " ").alias("h"), F.regexp_extract("value", r" 8:(\d+) ", 1).cast("long").alias("meta"))
-    assert back.columns == ["verts", "meta"]
-    number = lambda k: F.conv(F.col("h")[k], 16, 10).cast("long")
-    return parsed.select("user_id", "seq", number(0).alias("x0"), number(1).alias("y0"), number(2).alias("x1"), number(3).alias("y1"), "meta")
+    back = text.read_dump(dump_text(spark, sf_dir), line_col="line")
+    place = [F.col("verts")[k][c].alias(f"{c}{k}") for k in (0, 1) for c in "xy"]
+    return back.select("user_id", "seq", *place, "meta")
 
 
 # ---- style --------------------------------------------------------------------
@@ -331,7 +327,7 @@ def line_brightness(spark, sf_dir):
     return spark.createDataFrame(rows, "z int, bright double, thick double").select("z", F.round("bright", 9).alias("bright"), F.round("thick", 9).alias("thick"))
 
 
-@query(f"{with_('city')} select orderkey, linenumber, meta * 0.05917 as bright, meta * 2.0 as brush from city")
+@query(f"{with_('city')} select orderkey, linenumber, meta * 0.05917::double as bright, meta * 2.0::double as brush from city")
 def meta_scaling(spark, sf_dir):
     return fx.points(spark, sf_dir, "city").select("orderkey", "linenumber", (F.col("meta") * 0.05917).alias("bright"), (F.col("meta") * 2.0).alias("brush"))
 
@@ -347,7 +343,7 @@ def gps_dimming(spark, sf_dir):
     return got.where("bright IS NOT NULL").withColumn("bright", F.round("bright", 9))
 
 
-_WIDE = "w as (select orderkey, linenumber, x as x0, (x * 3 + linenumber * 1000000007) % 4294967296 as x1 from pts)"
+_WIDE = "w as (select orderkey, linenumber, x as x0, (x * 3 + cast(linenumber as bigint) * 1000000007) % 4294967296 as x1 from pts)"
 
 
 @query(f"{with_('pts')[:-1]}, {_WIDE} select orderkey, linenumber, x0, x1 from w where abs(x1 - x0) < 2147483648 union all select orderkey, linenumber, x0 + 4294967296, x1 from w where x1 - x0 >= 2147483648 union all select orderkey, linenumber, x0, x1 - 4294967296 from w where x1 - x0 >= 2147483648 union all select orderkey, linenumber, x0, x1 + 4294967296 from w where x1 - x0 <= -2147483648 union all select orderkey, linenumber, x0 - 4294967296, x1 from w where x1 - x0 <= -2147483648")
@@ -516,9 +512,9 @@ def _tone_sql(s: Style, hue: bool = True) -> str:
     for k, c in enumerate(s.middle):
         if s.cie:
             turn, gain = ((math.pi - 2, 0.417211), (math.pi + 1.5, 0.158136), (math.pi, 0.455928))[k]
-            colour = f"least(255, greatest(0, trunc(255 * pow((sin({h} + {math.pi / 2 - (math.pi - 2)!r} + {turn!r}) * {gain} * least(sat, 1.0) + 0.5) * 0.923166 + 0.0791025, 1.25))))"
+            colour = f"least(255, greatest(0, trunc(round(255 * pow((sin({h} + {math.pi / 2 - (math.pi - 2)!r} + {turn!r}) * {gain} * least(sat, 1.0) + 0.5) * 0.923166 + 0.0791025, 1.25), 9))))"
         else:
-            colour = f"trunc(255 * pow(sin(pi() * (-({h} / (2 * pi()) + 0.5) + {k / 3!r})), 2) * sat + {c} * (1 - sat))"
+            colour = f"trunc(round(255 * pow(sin(pi() * (-({h} / (2 * pi()) + 0.5) + {k / 3!r})), 2) * sat + {c} * (1 - sat), 9))"
         mids.append(f"case when cx <> 0 or cy <> 0 then {colour} else {c} end as m{names[k]}")
     level = f"case when image <> 0 then pow(image, {s.gamma}) else 0 end"
     if s.invert:
@@ -528,7 +524,7 @@ def _tone_sql(s: Style, hue: bool = True) -> str:
     step3 = f"select *, case when sat <> 0 then least(lv, {s.color_cap}) else lv end as cap0 from ({step2})"
     step4 = f"select *, {'least(cap0, 1.0) * 0.5' if s.no_oversaturation else 'cap0'} as cap from ({step3})"
     step5 = f"select *, cap / 0.5 as a, (255 * (cap / 0.5) + {s.transparency} * (1 - cap / 0.5)) / 255 as o from ({step4})"
-    byte = lambda v: f"least(255, greatest(0, trunc({v})))"
+    byte = lambda v: f"least(255, greatest(0, trunc(round({v}, 9))))"
     out = []
     for n, bg, fg in zip(names, s.bg, s.fg, strict=True):
         out.append(f"cast(case when lv = 0 then {bg} when cap <= 0.5 then {byte(f'm{n} * (a / nullif(o, 0)) + {bg} * (1 - a / nullif(o, 0))')} when cap <= 1 then {byte(f'{fg} * ((cap - 0.5) / 0.5) + m{n} * (1 - (cap - 0.5) / 0.5)')} else {fg} end as int) as {n}")

@@ -57,9 +57,10 @@ def read_dump(lines: DataFrame, *, line_col: str = "value") -> DataFrame:
     """World vertices of dumped lines from their hexadecimal part, exactly."""
     words = F.split(F.regexp_extract(line_col, r"// ([0-9a-f ]*)", 1), " +")
     hexes = F.filter(words, lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(hexes) / 2 - 1), lambda i: F.struct(*(F.conv(F.get(hexes, (2 * i + k).cast("int")), 16, 10).cast("long").alias(n) for k, n in enumerate("xy"))))
-    meta = F.regexp_extract(line_col, r" \d+:(-?\d+) //", 1)
-    return lines.select(F.when(F.size(hexes) >= 2, pairs).alias("verts"), F.when(meta != "", meta.cast("long")).otherwise(0).alias("meta"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size(hexes) / 2).cast("int") - 1), lambda i: F.struct(*(F.conv(F.get(hexes, (2 * i + k).cast("int")), 16, 10).cast("long").alias(n) for k, n in enumerate("xy"))))
+    meta = F.regexp_extract(line_col, r" \d+:(-?\d+) +//", 1)
+    kept = [c for c in lines.columns if c != line_col]
+    return lines.select(*kept, F.when(F.size(hexes) >= 2, pairs).alias("verts"), F.when(meta != "", meta.cast("long")).otherwise(0).alias("meta"))
 
 
 def _places(verts: Column):
