@@ -40,7 +40,6 @@ from tessera.llm.common import Scratch, tune
 from tessera.llm.components import connected_components
 
 SKETCH = 1 << 21
-_BLOCK = 1 << 16
 #: Sizes that may be light at all, and the cost of one inverted list in keys.
 MOST_LIGHT, LIST_COST = 32, 4
 _BLOOM = 1 << 24
@@ -123,43 +122,36 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Count class of each sketch cell (0 = not above the mean) and the
-    histogram of small set sizes; both of fixed size."""
+    """Class of each sketch cell (0 = not frequent) and the histogram of small
+    set sizes; both of fixed size.
+
+    A task counts the shingles of its documents by cell and passes on the
+    cells that stand out from its own mean; their sums rank the cells.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, sizes = np.zeros(SKETCH, "i8"), np.zeros(MOST_LIGHT + 1, "i8")
+        cells, sizes = np.zeros(SKETCH, "i4"), np.zeros(MOST_LIGHT + 1, "i8")
         for b in batches:
             sets = [shingles(t, rule.words) for t in b.column(0).to_pylist()]
             if sets:
-                cells += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype("i8"), minlength=SKETCH)
+                at, n = np.unique((np.concatenate(sets) % np.uint64(SKETCH)).astype("i8"), return_counts=True)
+                cells[at] += n.astype("i4")
                 sizes += np.bincount(np.minimum([len(s) for s in sets], MOST_LIGHT), minlength=MOST_LIGHT + 1)
-        for k in range(SKETCH // _BLOCK):
-            part = cells[k * _BLOCK : (k + 1) * _BLOCK]
-            if part.any():
-                kind = "u2" if part.max() < 1 << 16 else "i8"
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.astype(kind).tobytes()])], ["block", "cells"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([sizes.tobytes()])], ["block", "cells"])
-
-    def add(key, rows):
-        block = key[0].as_py()
-        width = _BLOCK if block >= 0 else MOST_LIGHT + 1
-        total = np.zeros(width, "i8")
-        for x in rows.column("cells").to_pylist():
-            total += np.frombuffer(x, "i8" if len(x) == 8 * width else "u2")
-        return pa.table({"block": [block], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(count, "block long, cells binary")
-    # A first sum within groups of tasks keeps each sum small.
-    parts = parts.withColumn("part", F.spark_partition_id() % 8).groupBy("block", "part").applyInArrow(add, "block long, cells binary")
-    parts = parts.groupBy("block").applyInArrow(add, "block long, cells binary")
-    counts, sizes = np.zeros(SKETCH, "i8"), np.zeros(MOST_LIGHT + 1, "i8")
-    for r in parts.toLocalIterator():
-        if r["block"] < 0:
-            sizes += np.frombuffer(r["cells"], "i8")
-        else:
-            counts[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["cells"], "i8")
-    above = (counts + 1.0) / (counts.mean() + 1.0)
-    return np.clip(2 * np.log2(above) - 0.5, 0, 120).astype("u1"), sizes
+        total = int(cells.sum(dtype="i8"))
+        mean = total / SKETCH
+        out = np.flatnonzero(cells >= mean + 3 * np.sqrt(mean) + 3)
+        # Negative cells hold the total and the sizes.
+        cell = np.concatenate([out, [-1], -2 - np.arange(MOST_LIGHT + 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([cells[out], [total], sizes]).astype("i8"))], ["cell", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
+    small = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
+    counts = np.zeros(SKETCH)
+    counts[cell[cell >= 0]] = n[cell >= 0]
+    mean = small.get(-1, 0) / SKETCH
+    sizes = np.array([small.get(-2 - k, 0) for k in range(MOST_LIGHT + 1)])
+    return np.clip(2 * np.log2(1 + counts / (mean + 8)), 0, 120).astype("u1"), sizes
 
 
 def _boundary(rule: Rule, sizes: np.ndarray) -> int:
