@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,12 @@ class Scratch:
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Rows of a list column of numbers as arrays, without Python objects."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, at = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, tune
+from tessera.llm.common import Scratch, lists_of, tune
 from tessera.llm.toxicity import BUCKETS, word_ids
 
 TRAIN_ROWS = 8_000
@@ -73,7 +73,7 @@ def fit_domains(ids: list[np.ndarray], y: np.ndarray, domains: list[str], seed:
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             step += 1
-            flat = np.concatenate([rows[i] for i in part]) if len(part) else np.zeros(0, np.int64)
+            flat = np.concatenate([rows[i] for i in part]).astype(np.int64) if len(part) else np.zeros(0, np.int64)
             size = np.array([len(rows[i]) for i in part])
             doc = np.repeat(np.arange(len(part)), size)
             scale = 1 / np.sqrt(np.maximum(size, 1))
@@ -105,7 +105,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, train_rows: int = TRAIN_
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "domain", "text").mapInArrow(hashed, "doc_id long, domain string, ids array<int>").toArrow().sort_by("doc_id")
     domains = sorted(set(sample.column("domain").to_pylist()))
     y = np.array([domains.index(x) for x in sample.column("domain").to_pylist()], np.int64)
-    ids = [np.array(x, np.int64) for x in sample.column("ids").to_pylist()]
+    ids = lists_of(sample.column("ids"))
     model = docs.sparkSession.sparkContext.broadcast(fit_domains(ids, y, domains) if domains else None)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, tune
+from tessera.llm.common import crc_mod, lists_of, tune
 
 TRAIN_ROWS = 10_000
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
@@ -223,7 +223,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, *,
     chosen = known.where(crc_mod("doc_id", held_out[0]) != held_out[1]).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(train_rows)
     hashed = rows.join(chosen, "doc_id").mapInArrow(_hashed, "doc_id long, lang string, y long, ids array<int>")
     sample = hashed.toArrow().sort_by("doc_id")
-    ids = [np.array(x, np.int64).reshape(-1, 3) for x in sample.column("ids").to_pylist()]
+    ids = [x.reshape(-1, 3) for x in lists_of(sample.column("ids"))]
     net = spark.sparkContext.broadcast(train(ids, sample.column("y").to_numpy().astype("f8"), sample.column("lang").to_pylist()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
