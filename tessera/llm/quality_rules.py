@@ -31,7 +31,7 @@ SPREAD = 4.0
 #: Ratio -> slack above the upper fence.
 SLACK = {"symbol_ratio": 0.04, "dup_line_ratio": 0.4, "repeat_ratio": 0.35, "mark_ratio": 0.05, "upper_ratio": 0.2, "mean_word": 1.5}
 _WS = r"[\\x20\\x09-\\x0D]+"
-_TRIM = r"' \\t\\n\\u000b\\f\\r'"
+_TRIM = r"' \t\n\u000b\u000c\r'"
 
 
 def _let(value: str, name: str, body: str) -> str:
