@@ -1,0 +1,423 @@
+"""The training-data operators against brute force, exact round trips and
+held-out accuracy, and on odd inputs: nulls, empty and very long texts, ties,
+repeated rows, empty tables, extra columns."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import context_tree, embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, queries, token_output, tokens, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, row long, ids int, n int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = " ".join(f"wört{i % 5000}" for i in range(30_000))
+    texts = [None, "", " \n\t ", "one", "a b", "Same words here again and again.\nline\nline\n", "Same words here again and again.\nline\nline\n", long, "x  y\r\n z é 日本   it's", "<|endoftext|> b"]
+    rows = [(i, t, None if i == 3 else "en", None if i == 4 else "s", 0, "clash", i, 7, 7) for i, t in enumerate(texts)]
+    rows += [(None, "one", "en", "s", 0, "c", 0, 0, 0), (5, texts[5], "en", "s", 0, "c", 0, 0, 0), (5, "another text under a used id", "en", "s", 0, "c", 0, 0, 0)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pandas()
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_ids(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+# ---- 1 token output, 8 packing -------------------------------------------------
+
+
+def test_encoder_equals_tokenizer(documents):
+    odd = ["", " ", "a", " a", "a ", "  a\n b", "a\n\nb", "a\n\n\nb", "a\n\n", "x 'll y's", "12ab3 é..ü", "\ta b  c", "日本 語", "a\nb c\n"]
+    texts = odd + documents.text.tolist()[:100]
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    for text, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, enc.dtype).tolist() == plain_ids(text), text
+
+
+def test_token_files(spark, odd, none):
+    manifest = token_output.token_output(spark, odd, seq_len=64)
+    got = token_output.read_token_documents(manifest, digest=True).orderBy("start").collect()
+    want = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in odd.collect()))
+    at = 0
+    for r, (_, doc, text) in zip(got, want, strict=True):
+        ids = [*plain_ids(text), 0]
+        assert (r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) == (doc, at, len(ids), crc(ids))
+        at += len(ids)
+    shard = max(manifest.collect(), key=lambda r: r["n_tokens"])
+    reader = token_output.SequenceReader(shard["tokens_path"])
+    flat = np.concatenate([reader[i][0][reader[i][1].to_numpy(zero_copy_only=False)] for i in range(len(reader))])
+    assert len(flat) == shard["n_tokens"] and len(reader) == -(-shard["n_tokens"] // 64)
+    assert (flat == np.concatenate(list(reader.ids()))).all()
+    with pytest.raises(IndexError):
+        reader[len(reader)]
+    assert token_output.read_token_documents(token_output.token_output(spark, none)).count() == 0
+
+
+def test_packing(spark, odd, none):
+    pieces = packing.token_pieces(odd)
+    rows = packing.pack_pieces(spark, pieces, shard_pieces=50).collect()
+    at = defaultdict(list)
+    for r in rows:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(r["ids"]) == 4 * r["length"] <= 4096
+    for places in at.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    by_doc = defaultdict(list)
+    for r in rows:
+        if r["doc_id"] == 7:
+            by_doc[7].append((r["piece"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    joined = [i for _, _, ids in sorted(by_doc[7]) for i in ids]
+    assert joined[-1] == 2 and all(len(ids) == 1024 for k, _, ids in by_doc[7] if k)
+    assert packing.pack_pieces(spark, packing.token_pieces(none)).count() == 0
+
+
+def test_packing_is_tight():
+    sizes = np.random.default_rng(0).integers(1, 700, 3000)
+    where, offset = packing.sum_of_squares(sizes, 1024)
+    load = np.bincount(where, sizes)
+    assert load.max() <= 1024 and len(load) <= 1.01 * max(sizes.sum() / 1024, (sizes > 512).sum())
+    assert packing.cut(0, 8) == [] and packing.cut(8, 8) == [(0, 8)] and packing.cut(19, 8) == [(0, 3), (3, 8), (11, 8)]
+
+
+# ---- 2 Jaccard join -------------------------------------------------------------
+
+
+def brute(rows, k, num):
+    sets = []
+    for _, text in rows:
+        w = words(text)
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                label[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted(((d if d is not None else -1, len(s), low.get(find(i), -1) if s else (d if d is not None else -1)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))))
+
+
+def variants():
+    rng = np.random.default_rng(4)
+    rows, doc = [], 0
+    for size in (4, 9, 12, 20, 26, 40, 150):
+        base = [f"w{int(v)}" for v in rng.integers(0, 10_000, size)]
+        for _ in range(14):
+            w = list(base)
+            for at in rng.integers(0, size, int(rng.integers(0, 3))):
+                w[at] = f"v{int(rng.integers(0, 5))}"
+            if rng.random() < 0.3:
+                w += ["tail"] * int(rng.integers(1, 4))
+            rows.append((doc, " ".join(w)))
+            doc += 1
+    return rows
+
+
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
+def test_jaccard_against_brute_force(spark, odd, k, num):
+    rows = variants() + [(1000 + r["doc_id"] if r["doc_id"] is not None else None, r["text"]) for r in odd.collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.jaccard_components(spark, frame, jaccard_join.Rule(k, num)).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in got) == brute(rows, k, num)
+
+
+def test_jaccard_parts(spark, none):
+    assert jaccard_join.jaccard_components(spark, none).count() == 0
+    rule = jaccard_join.Rule(3, 90)
+    assert rule.overlap(10, 10) == 10 and rule.overlap(9, 10) == 9 and rule.subset_sizes(9) == [9]
+    s = np.arange(12, dtype="u8")
+    assert len(jaccard_join._light_keys(s, rule)) == rule.subsets(12)
+    assert set(jaccard_join._light_keys(s, rule)) & set(jaccard_join._light_keys(s[1:], rule))
+
+
+# ---- 4 embeddings ----------------------------------------------------------------
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 16))
+    near = np.repeat(base[:20], 15, 0) + rng.normal(scale=0.05, size=(300, 16))
+    x = np.concatenate([base, near, base[:5]]).astype("f4")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [float("inf")] * 16), (9004, [None] * 16), (9005, []), (None, [1.0] * 16), (9006, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark, frame, shard_size=100).collect()}
+    y = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    truth = y @ y.T >= 0.95
+    np.fill_diagonal(truth, False)
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= truth.sum(1)).all() and found.sum() >= 0.95 * truth.sum()
+    for i in range(9000, 9007):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert got[605 - 5]["component_id"] == 0 and not got[600]["kept"]
+    result = embedding_dedup.near_duplicates(spark, frame.where("vec_id < 9000"), shard_size=100)
+    assert embedding_dedup.recall(spark, frame.where("vec_id < 9000"), result) >= 0.9
+    assert embedding_dedup.near_duplicates(spark, frame.limit(0)).count() == 0
+
+
+# ---- 5 language model ---------------------------------------------------------------
+
+
+def tree_model(texts):
+    """Direct recursion over dictionaries of counts."""
+    counts = defaultdict(lambda: [0, 0])
+    pad = bytes([context_tree.START]) * context_tree.DEPTH
+
+    def steps(text):
+        data = pad + text + bytes([context_tree.END])
+        for i in range(context_tree.DEPTH, len(data)):
+            for j in range(8):
+                known = (1 << j) | (data[i] >> (8 - j))
+                yield [(data[i - d : i], known) for d in range(context_tree.DEPTH + 1)], data[i] >> (7 - j) & 1
+
+    children = defaultdict(set)
+    for t in texts:
+        for path, bit in steps(t):
+            for d, node in enumerate(path):
+                counts[node][bit] += 1
+                if d:
+                    children[path[d - 1]].add(node)
+
+    def kt(node):
+        a, b = counts[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5)
+
+    weighted = {}
+    for node in sorted(counts, key=lambda n: -len(n[0])):
+        if len(node[0]) == context_tree.DEPTH:
+            weighted[node] = kt(node)
+        else:
+            weighted[node] = np.logaddexp(kt(node), sum(weighted[c] for c in children[node])) + math.log(0.5)
+
+    def score(text):
+        total = 0.0
+        for path, bit in steps(text):
+            p = None
+            for node in path[::-1]:
+                if node not in counts:
+                    continue
+                a, b = counts[node]
+                own = ((b if bit else a) + 0.5) / (a + b + 1)
+                stop = 1.0 if len(node[0]) == context_tree.DEPTH else math.exp(math.log(0.5) + kt(node) - weighted[node])
+                p = own if p is None else stop * own + (1 - stop) * p
+            total += math.log10(0.5 if p is None else p)
+        return total
+
+    return score
+
+
+def test_context_tree_against_recursion(spark, documents):
+    rows = [(int(i), t[:300]) for i, t in zip(documents.doc_id[:40], documents.text[:40], strict=True)] + [(500, ""), (501, None), (502, "qqq é"), (None, "held out"), (3, "again")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    train = [(t or "") for i, t in rows if not held(i)]
+    score = tree_model([t.encode() for t in train])
+    c = Counter(w for t in train for w in words(t))
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    want = Counter()
+    for i, t in rows:
+        w = words(t)
+        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w) + math.log10((len(train) + 0.1) / (n + 0.1 * (v + 1)))
+        want[(i, held(i), len(w) + 1, sum(x in c for x in w) + 1, n, round(base, 6), round(score((t or "").encode()), 3))] += 1
+    for hot in (context_tree.HOT_WORDS, 5):
+        got = context_tree.score_documents(spark, frame, hot_words=hot).collect()
+        assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 3)) for r in got) == want
+    empty = context_tree.score_documents(spark, frame.where("doc_id IS NULL")).first()
+    assert empty["n_known"] == 0 and empty["train_tokens"] == 0 and math.isclose(empty["score"], -len(b"held out ") * 8 * math.log10(2), rel_tol=1e-6)
+    assert context_tree.score_documents(spark, frame.limit(0)).count() == 0
+
+
+# ---- 6 quality rules ------------------------------------------------------------------
+
+
+def rule_counts(text):
+    w = WORD.findall(text or "")
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    twice = {x for x, n in Counter(windows).items() if n > 1}
+    repeated = {i + k for i, x in enumerate(windows) if x in twice for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in text or ""), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality_rules(spark, odd, none, documents):
+    rows = spark.createDataFrame(documents[["doc_id", "text", "lang", "source"]])
+    frame = rows.unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text", "lang", "source"))
+    text = {(r["doc_id"], r["text"]) for r in frame.collect()}
+    got = quality_rules.quality_rules(spark, frame).collect()
+    assert len(got) == frame.count()
+    want = Counter((d, *rule_counts(t)) for d, t in ((r["doc_id"], r["text"]) for r in frame.collect()))
+    assert Counter(tuple(r[:6]) for r in got) == want and text
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+    assert quality_rules.quality_rules(spark, none).count() == 0
+
+
+# ---- 7, 9 classifiers -------------------------------------------------------------------
+
+
+def test_trees_learn_and_flatten():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 3)).astype("f4")
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype("f8")
+    trees = quality_classifier.fit_trees(x[:1500], y[:1500])
+    assert ((trees.score(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.97
+    assert quality_classifier.fit_trees(x[:0], y[:0]).score(x[:4]).tolist() == [0.5] * 4
+
+
+def test_quality_classifier(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (5, 1), (None, 1), (7, None)], "doc_id long, quality int")
+    got = quality_classifier.score_documents(spark, odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert quality_classifier.score_documents(spark, none, labels).count() == 0
+    assert quality_classifier.score_documents(spark, odd, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
+
+
+def test_quality_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op7_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    share = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
+    assert share >= 0.9
+
+
+def test_toxicity(spark, odd, none):
+    rng = np.random.default_rng(1)
+    rows, marks = [], []
+    for i in range(700):
+        w = [f"w{int(v)}" for v in rng.integers(0, 300, int(rng.integers(5, 80)))]
+        if toxic := int(rng.random() < 0.3):
+            w[int(rng.integers(0, len(w)))] = str(rng.choice(["vile", "nasty", "grimXY"]))
+        rows.append((i, " ".join(w), "en" if i % 2 else None))
+        marks.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.score_documents(spark, docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.95
+    assert toxicity.score_documents(spark, odd, labels).count() == odd.count()
+    assert toxicity.score_documents(spark, none, labels).count() == 0
+    assert toxicity.score_documents(spark, odd, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.0
+
+
+# ---- 10 pseudonyms, 3 mixing -----------------------------------------------------------
+
+
+def luhn(d):
+    s = [int(c) for c in d[::-1]]
+    return sum(s[::2]) + sum(sum(divmod(2 * c, 10)) for c in s[1::2])
+
+
+def pseudonyms(spark, texts, key="k"):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"]: (r["text"], r["n"]) for r in pii.pseudonymise(frame, key, count_col="n").collect()}
+
+
+def test_pii_formats(spark):
+    texts = ["card 4041894974608795.", "again 4041-8949-7460-8795", "+1 (988) 555-2485", "10.1.2.3 256.1.1.1", "1984-02-29 30.02.1999 12/31/2001", "ssn 123-45-6789 000-12-3456", "a.b@c.example.com", "password=b7db7aa4a5fcc78305 x", 'token = "1beb58b8af68854f"', "DE89 3704 0044 0532 0130 00", "4041894974608794", None, "", "no numbers"]
+    got = pseudonyms(spark, texts)
+    card = re.findall(r"\d+", got[0][0])[0]
+    assert card != "4041894974608795" and luhn(card) % 10 == 0 and card[0] == "4"
+    assert got[1][0] == "again " + "-".join(card[i : i + 4] for i in (0, 4, 8, 12))
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[2][0]) and got[2][0] != texts[2]
+    assert got[3][0].endswith(" 256.1.1.1") and all(int(x) < 256 for x in got[3][0].split()[0].split("."))
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d 30\.02\.1999 \d\d/\d\d/\d{4}", got[4][0]) and got[4][1] == 2
+    assert got[5][0].endswith(" 000-12-3456") and got[5][1] == 1 and re.fullmatch(r"ssn \d{3}-\d\d-\d{4} .*", got[5][0])
+    assert "a.b@c" not in got[6][0] and "b7db7aa4" not in got[7][0] and "1beb58" not in got[8][0] and got[8][0].endswith('"')
+    iban = got[9][0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban != texts[9].replace(" ", "")
+    assert got[10] == ("4041894974608794", 0) and got[11] == (None, 0) and got[12] == ("", 0) and got[13] == ("no numbers", 0)
+    assert pseudonyms(spark, texts[:1], "other")[0][0] != got[0][0]
+
+
+def test_pii_is_a_permutation(spark):
+    days = [f"{y}-{m:02d}-{d:02d}" for y in range(1990, 2000) for m in range(1, 13) for d in range(1, 29)]
+    got = [v[0] for v in pseudonyms(spark, days).values()]
+    assert len(set(got)) == len(days)
+    addresses = [f"10.0.{a}.{b}" for a in range(8) for b in range(250)]
+    assert len({v[0] for v in pseudonyms(spark, addresses).values()}) == len(addresses)
+
+
+def test_mixing_meets_targets(spark, odd, none):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(400):
+        domain = ["a", "b", "c"][int(rng.choice(3, p=[0.7, 0.2, 0.1]))]
+        rows.append((i, " ".join(f"{domain}{int(v)}" for v in rng.integers(0, 40, 50)), "clash"))
+        if i % 2:
+            labels.append((i, domain))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rate string")
+    labelled = spark.createDataFrame(labels, "doc_id long, domain string")
+    targets = {"a": 0.3, "b": 0.3, "c": 0.4}
+    got = mixing.mix(spark, docs.drop("rate"), labelled, targets).collect()
+    total = sum(r["n_tokens"] for r in got)
+    assert all(r["rate"] >= 0 for r in got)
+    for d, t in targets.items():
+        assert abs(sum(r["rate"] * r["n_tokens"] * r["posterior"][d] for r in got) / total - t) < 0.03
+    assert {r["rate"] for r in mixing.mix(spark, odd, labelled.limit(0), targets).collect()} == {1.0}
+    assert mixing.mix(spark, odd, labelled, targets).count() == odd.count()
+    assert mixing.mix(spark, none, labelled, targets).count() == 0
+
+
+# ---- pipeline --------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = [docs.count()]
+    for _, stage in p.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).toArrow())
+        assert docs.columns == list(p.COLUMNS)
+        counts.append(docs.count())
+    assert counts[0] > counts[1] >= counts[2] == counts[3] and counts[4] > 0
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert len({d for d, _ in rows}) == len({c for _, _, c in brute([(i, t) for i, (_, t) in enumerate(dict(rows).items())], 5, 80)})
+    packed = p.packing_stage(spark, docs, sf).collect()
+    assert sum(r["length"] for r in packed) == sum(len(plain_ids(t)) + 1 for _, t in rows)
+
+
+def test_registry():
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
