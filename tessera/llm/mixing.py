@@ -38,7 +38,7 @@ from tessera.llm.toxicity import BUCKETS, word_ids
 
 TRAIN_ROWS = 8_000
 EPOCHS, BATCH, RATE = 8, 64, 0.05
-RIDGE, PASSES, CLOSE = 0.02, 30, 1e-3
+RIDGE, PASSES, CLOSE = 0.002, 40, 1e-3
 
 
 @dataclass
