@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, tune
 from tessera.llm.components import connected_components
 
-SKETCH = 1 << 21
+SKETCH = 1 << 23
 #: Sizes that may be light at all, and the cost of one inverted list in keys.
 MOST_LIGHT, LIST_COST = 32, 4
 _BLOOM = 1 << 24
@@ -139,7 +139,7 @@ def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
                 sizes += np.bincount(np.minimum([len(s) for s in sets], MOST_LIGHT), minlength=MOST_LIGHT + 1)
         total = int(cells.sum(dtype="i8"))
         mean = total / SKETCH
-        out = np.flatnonzero(cells >= mean + 3 * np.sqrt(mean) + 3)
+        out = np.flatnonzero(cells >= mean + 2 * np.sqrt(mean) + 1)
         # Negative cells hold the total and the sizes.
         cell = np.concatenate([out, [-1], -2 - np.arange(MOST_LIGHT + 1)])
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([cells[out], [total], sizes]).astype("i8"))], ["cell", "n"])
@@ -147,11 +147,11 @@ def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     sums = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
     small = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
-    counts = np.zeros(SKETCH)
+    counts = np.zeros(SKETCH, "f4")
     counts[cell[cell >= 0]] = n[cell >= 0]
     mean = small.get(-1, 0) / SKETCH
     sizes = np.array([small.get(-2 - k, 0) for k in range(MOST_LIGHT + 1)])
-    return np.clip(2 * np.log2(1 + counts / (mean + 8)), 0, 120).astype("u1"), sizes
+    return np.clip(2 * np.log2(1 + counts / np.float32(mean + 8)), 0, 120).astype("u1"), sizes
 
 
 def _boundary(rule: Rule, sizes: np.ndarray) -> int:
