@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, table
 from tessera.llm.jaccard_join import Rule, jaccard_components
-from tessera.llm.mixing import label_domains, mix
+from tessera.llm.mixing import copies, label_domains, mix
 from tessera.llm.packing import pack_pieces, token_pieces
 from tessera.llm.pii import pseudonymise
 from tessera.llm.quality_classifier import classified, fit_classifier
@@ -49,9 +49,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat or go by their rate, rounded to whole copies."""
-    mixed = mix(spark, docs.select(*COLUMNS), label_domains(table(spark, sf_dir, "labels")), TARGETS)
-    times = F.floor(F.col("rate") + 0.5).cast("int")
+    """Documents repeat or go by their rate, rounded by a hash of their row so
+    that the expected tokens of every domain stay as fitted."""
+    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    mixed = mix(spark, rows, label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    times = copies(F.col("rate"), F.col("_row"))
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("_copy") < times).select(*COLUMNS)
 
 

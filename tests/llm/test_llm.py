@@ -419,5 +419,25 @@ def test_pipeline_stages(spark):
     assert sum(r["length"] for r in packed) == sum(len(plain_ids(t)) + 1 for _, t in rows)
 
 
+def test_pipeline_mixing_meets_targets(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(3000):
+        domain = ["clean", "poor", "toxic"][int(rng.choice(3, p=[0.7, 0.2, 0.1]))]
+        text = f"unique{i} " + " ".join(f"{domain}{int(v)}" for v in rng.integers(0, 40, 50))
+        rows.append((i if i < 600 else 600 if i % 2 else None, text, "en", "s", len(text)))  # later ids repeat or are null
+        if i < 600:
+            labels.append((i, int(domain != "poor"), int(domain == "toxic")))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    of = {r["text"]: r for r in mixing.mix(spark, docs, mixing.label_domains(spark.read.parquet(f"{tmp_path}/labels.parquet")), p.TARGETS).collect()}
+    total = sum(r["n_tokens"] for r in of.values())
+    got = p.mixing_stage(spark, docs, str(tmp_path)).collect()
+    for d, target in p.TARGETS.items():
+        assert abs(sum(of[r["text"]]["n_tokens"] * of[r["text"]]["posterior"][d] for r in got) / total - target) < 0.03, d
+
+
 def test_registry():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
