@@ -9,7 +9,10 @@ its parent's estimate as it is.
 
 Fitting gathers, over all documents, one count per context and byte; documents
 held out add the pairs they need with count zero, so that one table gives the
-code length of every byte to be scored.  The unigram base over words is exact:
+code length of every byte to be scored.  Documents are scored in blocks of
+about ``BLOCK_BYTES`` of text: the distinct keys of a block are joined to the
+table and come back to the block, so that no task and not the driver holds the
+table, and the depth is the same at any size.  The unigram base over words is exact:
 the ``HOT_WORDS`` most frequent words (a fixed bound) travel to the workers,
 all other words are joined.
 
@@ -25,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +40,8 @@ DEPTH = 5
 TOP = 2
 START, END = 0xFE, 0xFF  # never bytes of UTF-8
 HOT_WORDS = 1 << 17
-#: Bound of the table sent to the workers (12 bytes a key).
-MODEL_KEYS = 1 << 25
+#: Text whose keys are looked up at once, and keys of one task of the model.
+BLOCK_BYTES, TASK_KEYS = 1 << 24, 1 << 20
 _CHUNK = 1 << 22
 _LOG2 = 0.6931471805599453
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -236,24 +241,21 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
     return [c.to_numpy() for c in pa.Table.from_batches(got).columns] if got else None
 
 
-def _model(scratch: Scratch, counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys, their log10 probabilities and the depth used.
+def _model(scratch: Scratch, counts: DataFrame) -> DataFrame:
+    """Every key with its log10 probability.
 
-    The trees below the last three bytes are independent; tasks take them by a
-    hash.  What the depths above need is summed per node first.  Were there
-    more than ``MODEL_KEYS`` keys, the earliest byte of context would be
-    folded away until they fit, which keeps every count.
+    The trees below the last three bytes are independent and have at most 2^24
+    keys each; tasks take them by a hash.  What the depths above need is summed
+    per node first.
     """
-    spark, depth = scratch.spark, DEPTH
-    while depth > TOP + 1 and counts.count() > MODEL_KEYS:
-        depth -= 1
-        counts = scratch.save(counts.groupBy(F.expr("((key >> 16) << 8) | (key & 255)").alias("key")).agg(F.sum("n").alias("n")), f"depth{depth}")
-    dealt = counts.repartition(F.shiftright("key", 8 * (depth - TOP)))
+    spark = scratch.spark
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // TASK_KEYS))
+    dealt = counts.repartition(tasks, F.shiftright("key", 8 * (DEPTH - TOP)))
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
         if got is not None:
-            node, zeros, ones, weighted = lower_levels(got[0].astype("u8"), got[1], depth)[1]
+            node, zeros, ones, weighted = lower_levels(got[0].astype("u8"), got[1])[1]
             yield pa.RecordBatch.from_arrays([pa.array(node.astype("i8")), pa.array(zeros), pa.array(ones), pa.array(weighted)], ["node", "zeros", "ones", "weighted"])
 
     sums = dealt.mapInArrow(up, "node long, zeros double, ones double, weighted double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
@@ -264,54 +266,83 @@ def _model(scratch: Scratch, counts: DataFrame) -> tuple[np.ndarray, np.ndarray,
         got = _columns(batches)
         if got is not None:
             keys = np.sort(got[0].astype("u8"))
-            levels = above.value | lower_levels(got[0].astype("u8"), got[1], depth)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype("i8")), pa.array(log10_of(levels, keys, depth).astype("f4"))], ["key", "value"])
+            levels = above.value | lower_levels(got[0].astype("u8"), got[1])[0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype("i8")), pa.array(log10_of(levels, keys).astype("f4"))], ["key", "value"])
 
-    table = scratch.save(dealt.mapInArrow(down, "key long, value float"), "model").toArrow()
-    keys, values = table.column("key").to_numpy().astype("u8"), table.column("value").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order], depth
+    return scratch.save(dealt.mapInArrow(down, "key long, value float"), "model")
 
 
-_TABLES: dict[str, KeyTable] = {}
+def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key): the distinct keys of each block's texts in this task."""
+    block, fresh, waiting = None, [], 0
+    found: list[np.ndarray] = []
 
+    def flush() -> None:
+        nonlocal fresh, waiting
+        if fresh:
+            found.append(np.unique(keys_of(fresh)[0]))
+            fresh, waiting = [], 0
 
-def _table(name: str, model) -> KeyTable:
-    """The table of a broadcast model, built once per Python worker."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = KeyTable(*(np.frombuffer(x, t) for x, t in zip(model.value, ("u8", "f4"), strict=True)))
-    return _TABLES[name]
+    def emit() -> Iterator[pa.RecordBatch]:
+        flush()
+        if found:
+            keys = np.unique(np.concatenate(found)).astype("i8")
+            found.clear()
+            for a in range(0, len(keys), 100_000):
+                k = keys[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, "i8")), pa.array(k)], ["block", "key"])
 
-
-def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_modulus: int = 10, hot_words: int = HOT_WORDS) -> DataFrame:
+    for b in batches:
+        for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if own != block:
+                yield from emit()
+                block = own
+            fresh.append(text.encode())
+            waiting += len(fresh[-1])
+            if waiting >= _CHUNK:
+                flush()
+    yield from emit()
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_modulus: int = 10, hot_words: int = HOT_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Fit on the rows not held out, score all rows."""
     tune(spark)
     scratch = Scratch(spark, "context-tree")
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (crc_mod(id_col, held_out_modulus) == 0).alias("held_out"), F.col(id_col).cast("long").alias("doc_id"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            blocks = []
+            for n in pc.binary_length(b.column(0)).to_pylist():
+                if size and size + n > block_bytes:
+                    block, size = block + 1, 0
+                size += n
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *b.columns], ["block", *b.schema.names])
+
+    rows = scratch.save(rows.mapInArrow(place, "block long, text string, held_out boolean, doc_id long"), "placed")
     gathered = rows.select("text", "held_out").mapInArrow(_gather, "kind int, key long, word binary, n long")
     counts = scratch.save(gathered.groupBy("kind", "key", "word").agg(F.sum("n").alias("n")), "counts")
 
-    keys, values, depth = _model(scratch, counts.where("kind = 0").select("key", "n"))
-    model = spark.sparkContext.broadcast((keys.tobytes(), values.tobytes()))
-    del keys, values
-    drop, name = np.uint64(8 * (DEPTH - depth)), scratch.path
+    model = _model(scratch, counts.where("kind = 0").select("key", "n"))
+    values = rows.select("block", "text").mapInArrow(_block_keys, "block long, key long").join(model, "key").select("block", "key", "value")
 
     vocabulary = counts.where("kind = 1").select("word", "n")
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     known = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     # The end is one more token: distinct where any document was trained on.
     train_tokens, distinct = known["n"] + ends, known["v"] + (ends > 0)
-    hot = {bytes(r["word"]): r["n"] for r in vocabulary.orderBy(F.desc("n"), "word").limit(hot_words).toLocalIterator()}
+    hot = {bytes(r["word"]): float(np.log10(r["n"] + 0.1)) for r in vocabulary.orderBy(F.desc("n"), "word").limit(hot_words).toLocalIterator()}
     hot_table = spark.sparkContext.broadcast(hot)
     floor = np.log10(train_tokens + 0.1 * (distinct + 1))
     end_score = float(np.log10(ends + 0.1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _table(name, model)
-        logs = {w: float(np.log10(c + 0.1)) for w, c in hot_table.value.items()}
-        for b in batches:
-            texts = [t.encode() for t in b.column(0).to_pylist()]
+    def score(docs: pa.Table, keys: pa.Table) -> pa.Table:
+        known = KeyTable(keys.column("key").to_numpy().astype("u8"), keys.column("value").to_numpy())
+        logs, out = hot_table.value, []
+        for b in docs.to_batches():
+            texts = [t.encode() for t in b.column("text").to_pylist()]
             code = np.zeros(len(texts))
             a = 0
             while a < len(texts):  # a few MB at a time
@@ -320,7 +351,6 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
                     size += len(texts[e])
                     e += 1
                 k, starts = keys_of(texts[a:e])
-                k = ((k >> np.uint64(8) >> drop) << np.uint64(8)) | (k & np.uint64(255))
                 code[a:e] = np.add.reduceat(known.get(k).astype("f8"), starts)
                 a = e
             tokens, sums, hits, cold = [], [], [], []
@@ -334,9 +364,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
                 sums.append(sum(g for g in got if g is not None) if missing else sum(got))
                 cold.append(list(rest.items()))
             pairs = pa.array([[{"word": w, "n": c} for w, c in x] for x in cold], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(code), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pairs], ["doc_id", "held_out", "score", "n_tokens", "n_hot", "hot_sum", "cold"])
+            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(code), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pairs], ["doc_id", "held_out", "score", "n_tokens", "n_hot", "hot_sum", "cold"]))
+        return pa.Table.from_batches(out)
 
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double, n_tokens long, n_hot long, hot_sum double, cold array<struct<word: binary, n: bigint>>")
+    scored = rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, score double, n_tokens long, n_hot long, hot_sum double, cold array<struct<word: binary, n: bigint>>")
     scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     cold = scored.select("row", F.explode("cold").alias("c")).select("row", "c.word", F.col("c.n").alias("times"))
     joined = cold.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("cold_sum"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_cold"))

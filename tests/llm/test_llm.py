@@ -269,6 +269,19 @@ def test_context_tree_against_recursion(spark, documents):
     assert context_tree.score_documents(spark, frame.limit(0)).count() == 0
 
 
+def test_context_tree_keeps_its_depth(spark, documents, monkeypatch):
+    """Neither many keys nor the size of a block changes a score."""
+    rows = [(int(i), t[:200]) for i, t in zip(documents.doc_id[:30], documents.text[:30], strict=True)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    score = tree_model([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10])
+    want = {i: score(t.encode()) for i, t in rows}
+    monkeypatch.setattr(context_tree, "MODEL_KEYS", 10, raising=False)
+    got = {r["doc_id"]: r["score"] for r in context_tree.score_documents(spark, frame).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-3
+    small = {r["doc_id"]: r["score"] for r in context_tree.score_documents(spark, frame, block_bytes=500).collect()}
+    assert small == got
+
+
 # ---- 6 quality rules ------------------------------------------------------------------
 
 
