@@ -142,6 +142,26 @@ def _cells(x0: int, y0: int, x1: int, y1: int) -> list[tuple[int, int]]:
     return [*body, (x1, y1)]
 
 
+def point_groups(features: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Feature of each point of one meta, in the given order: the one it has,
+    or the next with less than ``FEATURE_POINTS`` points."""
+    if not len(features) or np.unique(features, return_counts=True)[1].max() <= FEATURE_POINTS:
+        return features
+    out, filled, after, used = np.empty(len(features), np.int64), {}, {}, {}
+    for i, cell in enumerate(cells.tolist()):
+        p, passed = used.get(cell, 0), []
+        while p in after:  # full: to one that was not when last seen
+            passed.append(p)
+            p = after[p]
+        for q in passed:
+            after[q] = p
+        out[i], used[cell] = p, p + 1
+        filled[p] = filled.get(p, 0) + 1
+        if filled[p] == FEATURE_POINTS:
+            after[p] = p + 1
+    return out
+
+
 def vector_tiles(shapes: DataFrame) -> DataFrame:
     """(z, x, y, tile) from rows z, x, y, meta, kind (point or line), feature
     (long) and coordinates vx0, vy0, vx1, vy1 in tile units."""
@@ -152,6 +172,9 @@ def vector_tiles(shapes: DataFrame) -> DataFrame:
             for members in layered([tuple(map(int, v)) for v in part[["vx0", "vy0", "vx1", "vy1"]].to_numpy()]):
                 lines.append((int(meta), line_commands(members)))
         dots = rows[rows.kind == "point"].sort_values(["meta", "feature", "vx0", "vy0"])
+        for _, part in dots.groupby("meta"):
+            cells = (part.vx0 * CELLS // EXTENT) * CELLS + part.vy0 * CELLS // EXTENT
+            dots.loc[part.index, "feature"] = point_groups(part.feature.to_numpy(), cells.to_numpy())
         for (meta, _), part in dots.groupby(["meta", "feature"], sort=True):
             points.append((int(meta), point_commands([tuple(map(int, v)) for v in part[["vx0", "vy0"]].to_numpy()])))
         return pd.DataFrame([(*map(int, key), vector_tile(lines, points))], columns=["z", "x", "y", "tile"])

@@ -619,7 +619,7 @@ def png_tiles(spark, sf_dir):
 def _vector(spark, sf_dir) -> DataFrame:
     from tessera.operators.features import line_features, point_features
 
-    dots = point_features(city_dots(spark, sf_dir).withColumn("meta", F.col("meta") % 4)).where("feature < 10000")
+    dots = point_features(city_dots(spark, sf_dir).withColumn("meta", F.col("meta") % 4))
     points = dots.select(*TILE_KEYS, "meta", F.lit("point").alias("kind"), "feature", F.col("vx").alias("vx0"), F.col("vy").alias("vy0"), F.col("vx").alias("vx1"), F.col("vy").alias("vy1"))
     lines = line_features(raster.clipped(_segments_px(spark, sf_dir), -1.0, SIZE + 1.0), SIZE)
     return points.unionByName(lines.select(points.columns))

@@ -135,6 +135,25 @@ def test_layers_do_not_touch():
     assert [len(x) for x in encoders.layered([*same, (4000, 0, 4000, 500), (7, 7, 7, 7)])] == [2, 1, 1]
 
 
+def test_crowded_cell_keeps_every_point(spark, monkeypatch):
+    from tessera.plans import queries
+
+    crowd = spark.range(10_050).selectExpr("4 AS meta", "11 AS z", "327L AS x", "791L AS y", "0.5D AS fx", "0.5D AS fy")
+    monkeypatch.setattr(queries, "city_dots", lambda *_: crowd)
+    assert queries._vector(spark, "/root/testdata/sf0.001").where("kind = 'point'").count() == 10_050
+
+
+def test_full_features_pass_points_on():
+    from collections import Counter
+
+    from tessera.operators.encoders import FEATURE_POINTS, point_groups
+
+    cells = np.concatenate([np.arange(12_000), np.arange(12_000)])
+    got = point_groups(np.repeat([0, 1], 12_000), cells)
+    assert Counter(got.tolist()) == {0: FEATURE_POINTS, 1: FEATURE_POINTS, 2: 4_000}
+    assert len(set(zip(got.tolist(), cells.tolist(), strict=True))) == 24_000
+
+
 def test_tree_and_metadata(spark, tmp_path):
     tiles = spark.createDataFrame([(1, 0, 1, bytearray(b"a")), (3, 5, 6, bytearray(b"b"))], "z int, x long, y long, tile binary")
     meta = write_tree(tiles, f"file://{tmp_path}/out", column="tile", extension="pbf", description="d")
