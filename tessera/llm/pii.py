@@ -8,7 +8,8 @@ Kinds, in order of precedence:
 
 * payment cards: 13 to 19 digits, single spaces or hyphens between, Luhn
   valid; first digit kept, check digit computed anew;
-* IBANs with an all-digit account part, mod-97 valid; check digits anew;
+* IBANs, mod-97 valid, letters and digits of the account each permuted in
+  their own alphabet; check digits anew;
 * US social security numbers ``ddd-dd-dddd`` of an assignable range;
 * phone numbers in the North American form: all ten digits, country code kept;
 * IPv4 addresses;
@@ -31,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Length of the IBANs of countries whose accounts may have letters.
+_LETTERED = {18: "NL", 20: "KZ|LU", 21: "CH|LI|LV", 22: "BG|BH|GB|GE|IE", 23: "GI|IQ", 24: "AD|MD|PK|RO|SA|VG", 26: "TR", 27: "FR|GR|IT|MC|SM", 28: "AL|AZ|BY|CY|DO|GT|LB|NI|SV", 29: "BR|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC"}
+_FOURS = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _LETTERED.items())
 #: Patterns of each kind: fixed formats.  Groups are non-capturing.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_])(?:password|passwd|pwd|secret|token|api_key|apikey|access_key)(?: ?[=:] ?\"?)[^\s\"']{6,128}",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)(?: ?[=:] ?\"?)[^\s\"']{6,}+",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_FOURS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9.])(?:[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{1,7}|(?:[0-9]{4}-){3}[0-9]{1,7}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
@@ -45,7 +49,7 @@ PATTERNS = {
 }
 _ANY = "|".join(PATTERNS.values())
 #: A text without any of these has nothing to find.
-_HINT = r"[0-9@]|(?:password|passwd|pwd|secret|token|key)"
+_HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)"
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 * 4,297.
 _DAYS = (17, 4297)
 
@@ -77,15 +81,27 @@ def _permuted_digits(key: str, kind: str, d: str) -> str:
     return _let(mixed, "mix", f"concat(lpad(CAST(mix.x AS string), {half}, '0'), lpad(CAST(mix.y AS string), length({d}) - {half}, '0'))")
 
 
+def _permuted_letters(key: str, kind: str, s: str) -> str:
+    """The capital letters ``s`` permuted among strings as long; those after
+    the first 26, which only an account without digits has, stay."""
+    n = f"least(length({s}), 26)"
+    half = f"({n} div 2)"
+    size = lambda k: f"element_at(array({', '.join(f'{26**i}L' for i in range(14))}), CAST({k} AS int) + 1)"
+    number = lambda part: f"aggregate(filter(split({part}, ''), ch -> ch <> ''), 0L, (acc, ch) -> acc * 26 + ascii(ch) - 65)"
+    letters = lambda v, k: f"if({k} = 0, '', array_join(transform(sequence(CAST({k} AS int) - 1, 0), i -> chr(65 + ({v} div {size('i')}) % 26)), ''))"
+    mixed = _mix(key, kind, number(f"substring({s}, 1, CAST({half} AS int))"), number(f"substring({s}, CAST({half} AS int) + 1, CAST({n} - {half} AS int))"), size(half), size(f"({n} - {half})"))
+    return _let(mixed, "mix", f"concat({letters('mix.x', half)}, {letters('mix.y', f'({n} - {half})')}, substring({s}, 27))")
+
+
 def _luhn(d: str) -> str:
     """Luhn sum of a digit string whose last digit is the check digit."""
     step = f"(acc + if((length({d}) - i) % 2 = 0, q, if(q > 4, 2 * q - 9, 2 * q)))".replace("q", f"CAST(substring({d}, i, 1) AS int)")
     return f"aggregate(sequence(1, length({d})), 0, (acc, i) -> {step})"
 
 
-def _refill(m: str, d: str) -> str:
+def _refill(m: str, d: str, kind: str = "[0-9]") -> str:
     """``m`` with its digits replaced in order by those of ``d``."""
-    body = f"if(ch RLIKE '[0-9]', struct(concat(acc.s, substring({d}, acc.k, 1)) AS s, acc.k + 1 AS k), struct(concat(acc.s, ch) AS s, acc.k AS k))"
+    body = f"if(ch RLIKE '{kind}', struct(concat(acc.s, substring({d}, acc.k, 1)) AS s, acc.k + 1 AS k), struct(concat(acc.s, ch) AS s, acc.k AS k))"
     return f"aggregate(split({m}, ''), struct('' AS s, 1 AS k), (acc, ch) -> {body}, acc -> acc.s)"
 
 
@@ -102,9 +118,12 @@ def _replacement(key: str, m: str = "m") -> str:
     is_kind = lambda k: f"{m} RLIKE {_lit('^(?:' + PATTERNS[k] + ')$')}"
     luhn_tail = lambda body: f"concat({body}, CAST((10 - {_luhn(f'''concat({body}, '0')''')} % 10) % 10 AS string))"
     card = _let(_digits(m), "d", f"if({_luhn('d')} % 10 = 0, " + _let(_let("substring(d, 2, length(d) - 2)", "inner", f"concat(substring(d, 1, 1), {_permuted_digits(key, 'card', 'inner')})"), "body", _let(luhn_tail("body"), "full", _refill(m, "full"))) + f", {m})")
-    account = f"regexp_replace(substring({m}, 5), ' ', '')"
+    account = f"substring({m}, 5)"
     check = f"lpad(CAST(98 - {_mod97('''concat(acct, substring(''' + m + ''', 1, 2), '00')''')} AS string), 2, '0')"
-    iban = f"if({_mod97(f'concat(substring({m}, 5), substring({m}, 1, 4))')} = 1, " + _let(_permuted_digits(key, "iban", account), "acct", f"concat(substring({m}, 1, 2), {_refill(f'substring({m}, 3)', f'concat({check}, acct)')})") + f", {m})"
+    given_digits = _let(_digits(account), "d", f"if(length(d) < 2, d, {_permuted_digits(key, 'iban', 'd')})")
+    given_letters = _let(f"regexp_replace({account}, '[^A-Z]', '')", "s", f"if(length(s) = 0, s, {_permuted_letters(key, 'iban', 's')})")
+    filled = _let(given_digits, "ds", _let(given_letters, "ls", _refill(_refill(account, "ds"), "ls", "[A-Z]")))
+    iban = f"if({_mod97(f'concat(substring({m}, 5), substring({m}, 1, 4))')} = 1, " + _let(filled, "acct", f"concat(substring({m}, 1, 2), {check}, acct)") + f", {m})"
     area, group, serial = (f"CAST(substring({m}, {a}, {n}) AS bigint)" for a, n in ((1, 3), (5, 2), (8, 4)))
     # Areas 001-665 and 667-899, groups 01-99, serials 0001-9999.
     ssn = f"if({area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0, " + _let(_mix(key, "ssn", f"({area} - if({area} > 666, 2, 1))", f"(({group} - 1) * 9999 + {serial} - 1)", "898", "989901"), "mix", "format_string('%03d-%02d-%04d', mix.x + if(mix.x >= 665, 2, 1), (mix.y div 9999) + 1, mix.y % 9999 + 1)") + f", {m})"
@@ -118,7 +137,7 @@ def _replacement(key: str, m: str = "m") -> str:
     number = "CAST(datediff(day, DATE'1900-01-01') AS bigint)"
     date = _let(f"try_cast({iso} AS date)", "day", f"if(day IS NULL, {m}, " + _let(_mix(key, "date", f"{number} div {_DAYS[1]}", f"{number} % {_DAYS[1]}", str(_DAYS[0]), str(_DAYS[1])), "mix", f"date_format(date_add(DATE'1900-01-01', CAST(mix.x * {_DAYS[1]} + mix.y AS int)), {form})") + ")")
     email = f"concat('user-', substring({digest(f'lower({m})')}, 1, 12), '@example.invalid')"
-    head = f"regexp_extract({m}, {_lit(r'^[a-z_]+ ?[=:] ?' + chr(34) + '?')}, 0)"
+    head = f"regexp_extract({m}, {_lit(r'^[A-Za-z_]+ ?[=:] ?' + chr(34) + '?')}, 0)"
     secret = f"concat({head}, 'redacted-', substring({digest(f'substring({m}, length({head}) + 1)')}, 1, 16))"
     access = f"concat(left({m}, 4), upper(substring({digest(m)}, 1, 16)))"
     cases = [("email", email), ("secret", secret), ("access_key", access), ("iban", iban), ("phone", phone), ("card", card), ("ssn", ssn), ("ipv4", ipv4), ("date", date)]

@@ -383,6 +383,21 @@ def test_pii_formats(spark):
     assert pseudonyms(spark, texts[:1], "other")[0][0] != got[0][0]
 
 
+def test_pii_whole_secrets_and_lettered_accounts(spark):
+    long = "eyJ" + "a1" * 100
+    texts = ['TOKEN = "9233A8ECAAAA"', f"Password: {long}X end", f"password={long}Y end", "GB82 WEST 1234 5698 7654 32 PAID", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "IT60X0542811101000000123456", "DE89 3704 0044 0532 0130 00 NOTE", "GB82 WEST 1234 5698 7654 33"]
+    got = pseudonyms(spark, texts)
+    assert re.fullmatch('TOKEN = "redacted-[0-9a-f]{16}"', got[0][0])
+    tails = [re.fullmatch(r"(?i:password)(?:: |=)redacted-([0-9a-f]{16}) end", got[k][0])[1] for k in (1, 2)]
+    assert tails[0] != tails[1]
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))
+    for k in range(3, 8):
+        assert got[k][1] == 1 and shape(got[k][0]) == shape(texts[k]) and got[k][0][:2] == texts[k][:2], got[k]
+        iban = re.sub(" (PAID|NOTE)$", "", got[k][0]).replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[8] == (texts[8], 0)
+
+
 def test_pii_is_a_permutation(spark):
     days = [f"{y}-{m:02d}-{d:02d}" for y in range(1990, 2000) for m in range(1, 13) for d in range(1, 29)]
     got = [v[0] for v in pseudonyms(spark, days).values()]
