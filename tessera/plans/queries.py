@@ -604,7 +604,7 @@ def mvt_point_features(spark, sf_dir):
 
 @query()
 def circle_scatter(spark, sf_dir):
-    dots = city_dots(spark, sf_dir).where("meta <= 20")
+    dots = city_dots(spark, sf_dir)
     acc = raster.accumulate(raster.scatter(dots, SIZE, style.cloud_size(3000, CITY_Z, 791), BRIGHT), TILE_KEYS, SIZE)
     return _rounded(acc)
 

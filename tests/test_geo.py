@@ -143,6 +143,14 @@ def test_crowded_cell_keeps_every_point(spark, monkeypatch):
     assert queries._vector(spark, "/root/testdata/sf0.001").where("kind = 'point'").count() == 10_050
 
 
+def test_scatter_takes_every_quantity(spark, monkeypatch):
+    from tessera.plans import queries
+
+    dots = queries.city_dots(spark, "/root/testdata/sf0.001").where("meta = 50").limit(3).cache()
+    monkeypatch.setattr(queries, "city_dots", lambda *_: dots)
+    assert dots.count() > 0 and queries.circle_scatter(spark, "").count() > 0
+
+
 def test_full_features_pass_points_on():
     from collections import Counter
 
