@@ -15,8 +15,10 @@ A task writes under a name of its own and returns it; only names in the
 committed manifest are ever read, so a lost or repeated task does no harm.
 
 Defined cases: a null text counts as empty (one end id); null doc_ids sort
-first; rows that share a doc_id are all kept, in order of their text; an empty
-table gives no shard; extra columns are ignored.
+first; rows that share a doc_id are all kept, in order of their text, and may
+lie in several shards; an empty table gives no shard; extra columns are
+ignored; a text that holds a special token's content gets that token's id, as
+the library gives it.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, tune
+from tessera.llm.common import Scratch, store, tune
 from tessera.llm.tokens import default_tokenizer, encoder
 
 SEQ_LEN = 2048
 ROWS_PER_BATCH = 64
+_HEAD = 24
 _MANIFEST = "shard int, tokens_path string, docs_path string, n_docs long, n_tokens long"
 
 
@@ -48,7 +51,7 @@ class ShardWriter:
     """Cuts a stream of ids into rows of ``seq_len`` and writes full batches."""
 
     def __init__(self, base: str, name: str, dtype: np.dtype, seq_len: int) -> None:
-        fs, root = pafs.FileSystem.from_uri(base)
+        fs, root = store(base)
         fs.create_dir(root, recursive=True)
         self.tokens_path, self.docs_path = f"{base}/{name}.tokens.arrows", f"{base}/{name}.docs.arrows"
         self._dtype, self._seq_len = dtype, seq_len
@@ -102,7 +105,7 @@ class SequenceReader:
     file can be mapped."""
 
     def __init__(self, uri: str) -> None:
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = store(uri)
         self._source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         stream = pa.ipc.open_stream(self._source)
         self._head = self._source.tell()
@@ -163,7 +166,9 @@ def write_token_shards(docs: DataFrame, out_dir: str, *, tokenizer: str | None =
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "tokens_path": [writer.tokens_path], "docs_path": [writer.docs_path], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _MANIFEST)
+    # Many rows of one id (or of none) part at the beginnings of their texts.
+    head = F.left("text", F.lit(_HEAD))
+    return rows.repartitionByRange("doc_id", head).sortWithinPartitions("doc_id", "text").mapInArrow(write, _MANIFEST)
 
 
 def read_token_documents(manifest: DataFrame, *, digest: bool = False) -> DataFrame:
@@ -185,7 +190,7 @@ def read_token_documents(manifest: DataFrame, *, digest: bool = False) -> DataFr
 
 def _documents(row: dict, digest: bool) -> Iterator[pa.RecordBatch]:
     stream, buffer = SequenceReader(row["tokens_path"]).ids(), np.empty(0, "<u4")
-    fs, path = pafs.FileSystem.from_uri(row["docs_path"])
+    fs, path = store(row["docs_path"])
     with fs.open_input_stream(path) as f, pa.ipc.open_stream(f) as index:
         for docs in index:
             out = []

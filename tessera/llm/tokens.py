@@ -5,13 +5,16 @@ and line ends is cut here into the vocabulary's own pre-tokens, whose merges
 the library's model does.  Any other text is cut before every single space
 that stands between two characters that are not white space, where this
 pre-tokenizer always splits, and the pieces go through the whole tokenizer.
-Both equal encoding the text at once.  Words recur, so each Python worker
-keeps the ids of the first ``CACHE_WORDS`` distinct pieces it meets; other
-pieces are encoded once per batch.
+Both equal encoding the text at once.  A text that holds an added token of the
+vocabulary (such as an end mark), and every text of a vocabulary that is not
+byte-level, goes through the library whole.  Words recur, so each Python
+worker keeps the ids of the first ``CACHE_WORDS`` distinct pieces it meets;
+other pieces are encoded once per batch.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -36,6 +39,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _splits_as_here(tokenizer) -> bool:
+    """Whether the vocabulary's texts are cut by the byte-level rule alone: no
+    normalizer, no space put in front, the library's own pattern, plain merges."""
+    if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+        return False
+    rule = json.loads(tokenizer.pre_tokenizer.__getstate__())
+    merges = type(tokenizer.model).__name__ == "BPE" and not (tokenizer.model.dropout or tokenizer.model.continuing_subword_prefix or tokenizer.model.end_of_word_suffix)
+    return merges and rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and bool(rule.get("use_regex"))
+
+
 def default_tokenizer() -> str:
     """Path of the public byte-level vocabulary (a parameter everywhere)."""
     import public_tokenizers
@@ -53,13 +66,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self.vocab_size = self._tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._letters = _byte_letters()
-        # Whether the path's pre-tokenizer is the byte-level one cut here.
-        self._byte_level = '"ByteLevel"' in str(self._tokenizer.pre_tokenizer) or "ByteLevel" in type(self._tokenizer.pre_tokenizer).__name__
+        self._byte_level = _splits_as_here(self._tokenizer)
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _merged(self, pieces: set[str]) -> dict[str, bytes]:
@@ -79,14 +92,20 @@ class Encoder:
         got = self._tokenizer.encode_batch_fast(order, add_special_tokens=False)
         return {p: array(self._code, x.ids).tobytes() for p, x in zip(order, got, strict=True)}
 
+    def _is_whole(self, text: str) -> bool:
+        return not self._byte_level or (self._added is not None and self._added.search(text) is not None)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of each text (``self.dtype``); an empty text has none."""
         out: list[bytes] = [b""] * len(texts)
         waiting: tuple[list, list] = ([], [])
         words = [0, 0]
         for i, text in enumerate(texts):
-            k = int(not self._byte_level or _OTHER.search(text) is not None)
-            pieces = _SAFE.split(text) if k and self._byte_level else [text] if k else _PRETOKEN.findall(text)
+            if self._is_whole(text):
+                out[i] = self._whole({text})[text]
+                continue
+            k = int(_OTHER.search(text) is not None)
+            pieces = _SAFE.split(text) if k else _PRETOKEN.findall(text)
             waiting[k].append((i, pieces))
             words[k] += len(pieces)
             if words[k] >= _BATCH_WORDS:

@@ -45,7 +45,6 @@ def plain_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -58,12 +57,24 @@ def crc(ids):
 
 def test_encoder_equals_tokenizer(documents):
     odd = ["", " ", "a", " a", "a ", "  a\n b", "a\n\nb", "a\n\n\nb", "a\n\n", "x 'll y's", "12ab3 é..ü", "\ta b  c", "日本 語", "a\nb c\n"]
-    texts = odd + documents.text.tolist()[:100]
+    odd += ["<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b  c", "<|endoftext| >"]
+    texts = odd + documents.text.tolist()
     enc = tokens.Encoder(tokens.default_tokenizer())
     for text, got in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(got, enc.dtype).tolist() == plain_ids(text), text
 
 
+def test_encoder_of_another_vocabulary():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["", "Hello  World, it's é", "a <|endoftext|> b", "x\n\ny 12"]
+    for text, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, odd, none):
     manifest = token_output.token_output(spark, odd, seq_len=64)
     got = token_output.read_token_documents(manifest, digest=True).orderBy("start").collect()
