@@ -102,7 +102,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, train_rows: int = TRAIN_
             ids = [np.unique(word_ids(t or "")).astype("i4") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("domain"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "domain", "ids"])
 
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "domain", "text").mapInArrow(hashed, "doc_id long, domain string, ids array<int>").toArrow().sort_by("doc_id")
+    # At most ``train_rows`` short rows travel; the texts stay where they are.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text").mapInArrow(hashed, "doc_id long, domain string, ids array<int>").toArrow().sort_by("doc_id")
     domains = sorted(set(sample.column("domain").to_pylist()))
     y = np.array([domains.index(x) for x in sample.column("domain").to_pylist()], np.int64)
     ids = lists_of(sample.column("ids"))

@@ -166,7 +166,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
     """Trees fitted on at most ``rows`` labelled documents outside the fold."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", held_out[0]) != held_out[1])).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(_measured, "doc_id long, y double, stats array<float>").toArrow().sort_by("doc_id")
+    # At most ``rows`` pairs of numbers travel; the texts stay where they are.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(_measured, "doc_id long, y double, stats array<float>").toArrow().sort_by("doc_id")
     x = np.array(sample.column("stats").to_pylist(), "f4").reshape(sample.num_rows, len(STATS))
     return fit_trees(x, sample.column("y").to_numpy())
 

@@ -221,7 +221,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, *,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", held_out[0]) == held_out[1]).alias("held_out"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     chosen = known.where(crc_mod("doc_id", held_out[0]) != held_out[1]).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(train_rows)
-    hashed = rows.join(chosen, "doc_id").mapInArrow(_hashed, "doc_id long, lang string, y long, ids array<int>")
+    hashed = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_hashed, "doc_id long, lang string, y long, ids array<int>")
     sample = hashed.toArrow().sort_by("doc_id")
     ids = [x.reshape(-1, 3) for x in lists_of(sample.column("ids"))]
     net = spark.sparkContext.broadcast(train(ids, sample.column("y").to_numpy().astype("f8"), sample.column("lang").to_pylist()))
