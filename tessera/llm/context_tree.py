@@ -305,7 +305,8 @@ def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_modulus: int = 10, hot_words: int = HOT_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Fit on the rows not held out, score all rows."""
+    """Fit on the rows not held out, score all rows: counts, base_score, score
+    and bits_per_byte, the code length over the bytes of the text and its end."""
     tune(spark)
     scratch = Scratch(spark, "context-tree")
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (crc_mod(id_col, held_out_modulus) == 0).alias("held_out"), F.col(id_col).cast("long").alias("doc_id"))
@@ -364,13 +365,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
                 sums.append(sum(g for g in got if g is not None) if missing else sum(got))
                 cold.append(list(rest.items()))
             pairs = pa.array([[{"word": w, "n": c} for w, c in x] for x in cold], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(code), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pairs], ["doc_id", "held_out", "score", "n_tokens", "n_hot", "hot_sum", "cold"]))
+            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(code), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), pairs], ["doc_id", "held_out", "score", "n_tokens", "n_hot", "hot_sum", "n_bytes", "cold"]))
         return pa.Table.from_batches(out)
 
-    scored = rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, score double, n_tokens long, n_hot long, hot_sum double, cold array<struct<word: binary, n: bigint>>")
+    scored = rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, score double, n_tokens long, n_hot long, hot_sum double, n_bytes long, cold array<struct<word: binary, n: bigint>>")
     scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     cold = scored.select("row", F.explode("cold").alias("c")).select("row", "c.word", F.col("c.n").alias("times"))
     joined = cold.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("cold_sum"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_cold"))
     zero = F.lit(0)
     base = F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0)) + F.lit(end_score) - F.col("n_tokens") * F.lit(float(floor))
-    return scored.drop("cold").join(joined, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", zero) + F.lit(int(ends > 0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored.drop("cold").join(joined, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", zero) + F.lit(int(ends > 0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
