@@ -9,12 +9,13 @@ its parent's estimate as it is.
 
 Fitting gathers, over all documents, one count per context and byte; documents
 held out add the pairs they need with count zero, so that one table gives the
-code length of every byte to be scored.  Documents are scored in blocks of
-about ``BLOCK_BYTES`` of text: the distinct keys of a block are joined to the
-table and come back to the block, so that no task and not the driver holds the
-table, and the depth is the same at any size.  The unigram base over words is exact:
-the ``HOT_WORDS`` most frequent words (a fixed bound) travel to the workers,
-all other words are joined.
+code length of every byte to be scored, and the depth is the same at any size.
+The table stays distributed: the values of its ``HOT_KEYS`` most frequent keys
+(a fixed bound) travel to the workers, which sum them up per document and
+leave the other keys of a document with their numbers; those are joined to
+the table and summed per document, without the texts.  The unigram base over
+words is exact and works alike: ``HOT_WORDS`` words travel, all others are
+joined.
 
 Defined cases: a null or empty text has only its end symbol; rows with a null
 id are held out; rows that share a doc_id each give a row; with no training
@@ -23,13 +24,12 @@ rows every bit has probability one half; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +39,9 @@ DEPTH = 5
 #: Depths computed at the driver: at most 256^2 contexts of 255 nodes.
 TOP = 2
 START, END = 0xFE, 0xFF  # never bytes of UTF-8
-HOT_WORDS = 1 << 17
-#: Text whose keys are looked up at once, and keys of one task of the model.
-BLOCK_BYTES, TASK_KEYS = 1 << 24, 1 << 20
+HOT_WORDS, HOT_KEYS = 1 << 17, 1 << 21
+#: Keys of one task of the model.
+TASK_KEYS = 1 << 20
 _CHUNK = 1 << 22
 _LOG2 = 0.6931471805599453
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -153,14 +153,14 @@ def log10_of(levels: dict[int, Level], keys: np.ndarray, depth: int = DEPTH) ->
 
 
 class KeyTable:
-    """Open-addressing hash table of keys to values; all keys asked for exist."""
+    """Open-addressing hash table of keys to values; NaN where a key is not."""
 
     _FREE = np.uint64((1 << 64) - 1)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(2 * len(keys)).bit_length())
         self._shift, self._mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self._keys, self._values = np.full(1 << bits, self._FREE), np.zeros(1 << bits, "f4")
+        self._keys, self._values = np.full(1 << bits, self._FREE), np.full(1 << bits, np.nan, "f4")
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = np.flatnonzero(self._keys[at] == self._FREE)
@@ -176,17 +176,30 @@ class KeyTable:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
-        out = self._values[at]
-        left = np.flatnonzero(self._keys[at] != keys)
+        out, held = self._values[at], self._keys[at]
+        left = np.flatnonzero((held != keys) & (held != self._FREE))
+        out[held == self._FREE] = np.nan
         at = at[left]
         while len(left):
             at = (at + 1) & self._mask
-            hit = self._keys[at] == keys[left]
-            out[left[hit]] = self._values[at[hit]]
-            left, at = left[~hit], at[~hit]
+            held = self._keys[at]
+            done = (held == keys[left]) | (held == self._FREE)
+            out[left[done]] = self._values[at[done]]
+            left, at = left[~done], at[~done]
         return out
 
 
+_TABLES: dict[int, KeyTable] = {}
+
+
+def _table_of(known) -> KeyTable:
+    """The table of a broadcast (keys, values); one per Python worker."""
+    if known.value[2] not in _TABLES:
+        _TABLES.clear()
+        _TABLES[known.value[2]] = KeyTable(*known.value[:2])
+    return _TABLES[known.value[2]]
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
@@ -265,86 +278,70 @@ def _model(scratch: Scratch, counts: DataFrame) -> DataFrame:
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
         if got is not None:
-            keys = np.sort(got[0].astype("u8"))
-            levels = above.value | lower_levels(got[0].astype("u8"), got[1])[0]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype("i8")), pa.array(log10_of(levels, keys).astype("f4"))], ["key", "value"])
-
-    return scratch.save(dealt.mapInArrow(down, "key long, value float"), "model")
-
-
-def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key): the distinct keys of each block's texts in this task."""
-    block, fresh, waiting = None, [], 0
-    found: list[np.ndarray] = []
-
-    def flush() -> None:
-        nonlocal fresh, waiting
-        if fresh:
-            found.append(np.unique(keys_of(fresh)[0]))
-            fresh, waiting = [], 0
-
-    def emit() -> Iterator[pa.RecordBatch]:
-        flush()
-        if found:
-            keys = np.unique(np.concatenate(found)).astype("i8")
-            found.clear()
-            for a in range(0, len(keys), 100_000):
-                k = keys[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, "i8")), pa.array(k)], ["block", "key"])
-
-    for b in batches:
-        for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if own != block:
-                yield from emit()
-                block = own
-            fresh.append(text.encode())
-            waiting += len(fresh[-1])
-            if waiting >= _CHUNK:
-                flush()
-    yield from emit()
-
-
-def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_modulus: int = 10, hot_words: int = HOT_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            keys = got[0].astype("u8")
+            order = np.argsort(keys)
+            keys, n = keys[order], got[1][order]
+            levels = above.value | lower_levels(keys, n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype("i8")), pa.array(n), pa.array(log10_of(levels, keys).astype("f4"))], ["key", "n", "value"])
+
+    return scratch.save(dealt.mapInArrow(down, "key long, n long, value float"), "model")
+
+
+def _hot_limit(model: DataFrame, most: int) -> int:
+    """Least count that at most ``most`` keys reach, from a histogram of about
+    eight bins per doubling."""
+    bins = model.where("n > 0").groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.count("*").alias("keys"), F.min("n").alias("n"))
+    limit, total = 1 << 62, 0
+    for r in bins.orderBy(F.desc("b")).collect():  # a few hundred rows
+        total += r["keys"]
+        if total > most:
+            break
+        limit = r["n"]
+    return limit
+
+
+def _cold(row: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """Per row the distinct ones of these keys and how often each occurs."""
+    order = np.lexsort((keys, row))
+    row, keys = row[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(keys))).astype("i4")
+    at = pa.array(np.searchsorted(row[first], np.arange(rows + 1)).astype("i4"))
+    return pa.ListArray.from_arrays(at, pa.array(keys[first].astype("i8"))), pa.ListArray.from_arrays(at, pa.array(times))
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_modulus: int = 10, hot_words: int = HOT_WORDS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Fit on the rows not held out, score all rows: counts, base_score, score
     and bits_per_byte, the code length over the bytes of the text and its end."""
     tune(spark)
     scratch = Scratch(spark, "context-tree")
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (crc_mod(id_col, held_out_modulus) == 0).alias("held_out"), F.col(id_col).cast("long").alias("doc_id"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            blocks = []
-            for n in pc.binary_length(b.column(0)).to_pylist():
-                if size and size + n > block_bytes:
-                    block, size = block + 1, 0
-                size += n
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *b.columns], ["block", *b.schema.names])
-
-    rows = scratch.save(rows.mapInArrow(place, "block long, text string, held_out boolean, doc_id long"), "placed")
     gathered = rows.select("text", "held_out").mapInArrow(_gather, "kind int, key long, word binary, n long")
     counts = scratch.save(gathered.groupBy("kind", "key", "word").agg(F.sum("n").alias("n")), "counts")
-
     model = _model(scratch, counts.where("kind = 0").select("key", "n"))
-    values = rows.select("block", "text").mapInArrow(_block_keys, "block long, key long").join(model, "key").select("block", "key", "value")
+    limit = _hot_limit(model, hot_keys)
+    frequent = model.where(F.col("n") >= limit).select("key", "value").toArrow()
+    known = spark.sparkContext.broadcast((frequent.column("key").to_numpy().astype("u8"), frequent.column("value").to_numpy(), uuid.uuid4().int))
 
     vocabulary = counts.where("kind = 1").select("word", "n")
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    known = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    trained = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     # The end is one more token: distinct where any document was trained on.
-    train_tokens, distinct = known["n"] + ends, known["v"] + (ends > 0)
+    train_tokens, distinct = trained["n"] + ends, trained["v"] + (ends > 0)
     hot = {bytes(r["word"]): float(np.log10(r["n"] + 0.1)) for r in vocabulary.orderBy(F.desc("n"), "word").limit(hot_words).toLocalIterator()}
     hot_table = spark.sparkContext.broadcast(hot)
     floor = np.log10(train_tokens + 0.1 * (distinct + 1))
     end_score = float(np.log10(ends + 0.1))
 
-    def score(docs: pa.Table, keys: pa.Table) -> pa.Table:
-        known = KeyTable(keys.column("key").to_numpy().astype("u8"), keys.column("value").to_numpy())
-        logs, out = hot_table.value, []
-        for b in docs.to_batches():
-            texts = [t.encode() for t in b.column("text").to_pylist()]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, logs = _table_of(known), hot_table.value
+        for b in batches:
+            texts = [t.encode() for t in b.column(0).to_pylist()]
             code = np.zeros(len(texts))
+            rare_row, rare_key = [np.zeros(0, "i8")], [np.zeros(0, "u8")]
             a = 0
             while a < len(texts):  # a few MB at a time
                 e, size = a + 1, len(texts[a])
@@ -352,8 +349,14 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
                     size += len(texts[e])
                     e += 1
                 k, starts = keys_of(texts[a:e])
-                code[a:e] = np.add.reduceat(known.get(k).astype("f8"), starts)
+                got = values.get(k).astype("f8")
+                cold = np.flatnonzero(np.isnan(got))
+                got[cold] = 0
+                rare_row.append(a + np.searchsorted(starts, cold, side="right") - 1)
+                rare_key.append(k[cold])
+                code[a:e] = np.add.reduceat(got, starts)
                 a = e
+            rare = _cold(np.concatenate(rare_row), np.concatenate(rare_key), len(texts))
             tokens, sums, hits, cold = [], [], [], []
             for t in texts:
                 split = t.lower().split()
@@ -365,13 +368,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
                 sums.append(sum(g for g in got if g is not None) if missing else sum(got))
                 cold.append(list(rest.items()))
             pairs = pa.array([[{"word": w, "n": c} for w, c in x] for x in cold], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(code), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), pairs], ["doc_id", "held_out", "score", "n_tokens", "n_hot", "hot_sum", "n_bytes", "cold"]))
-        return pa.Table.from_batches(out)
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(code), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), pairs, *rare], ["doc_id", "held_out", "code", "n_tokens", "n_hot", "hot_sum", "n_bytes", "cold", "keys", "times"])
 
-    scored = rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, score double, n_tokens long, n_hot long, hot_sum double, n_bytes long, cold array<struct<word: binary, n: bigint>>")
+    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, code double, n_tokens long, n_hot long, hot_sum double, n_bytes long, cold array<struct<word: binary, n: bigint>>, keys array<long>, times array<int>")
     scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("r")).select("row", "r.keys", "r.times")
+    rest = model.where(F.col("n") < limit).select(F.col("key").alias("keys"), "value")
+    codes = rare.join(rest, "keys").groupBy("row").agg(F.sum(F.col("times") * F.col("value").cast("double")).alias("rare_code"))
     cold = scored.select("row", F.explode("cold").alias("c")).select("row", "c.word", F.col("c.n").alias("times"))
     joined = cold.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("cold_sum"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_cold"))
     zero = F.lit(0)
     base = F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0)) + F.lit(end_score) - F.col("n_tokens") * F.lit(float(floor))
-    return scored.drop("cold").join(joined, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", zero) + F.lit(int(ends > 0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
+    out = scored.drop("cold", "keys", "times").join(joined, "row", "left").join(codes, "row", "left")
+    code = F.col("code") + F.coalesce("rare_code", F.lit(0.0))
+    n_known = F.col("n_hot") + F.coalesce("n_cold", zero) + F.lit(int(ends > 0))
+    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), code.alias("score"), (-code * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

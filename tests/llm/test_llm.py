@@ -281,7 +281,7 @@ def test_context_tree_against_recursion(spark, documents):
 
 
 def test_context_tree_keeps_its_depth(spark, documents, monkeypatch):
-    """Neither many keys nor the size of a block changes a score."""
+    """Neither many keys nor the number of frequent ones changes a score."""
     rows = [(int(i), t[:200]) for i, t in zip(documents.doc_id[:30], documents.text[:30], strict=True)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     score = tree_model([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10])
@@ -289,8 +289,27 @@ def test_context_tree_keeps_its_depth(spark, documents, monkeypatch):
     monkeypatch.setattr(context_tree, "MODEL_KEYS", 10, raising=False)
     got = {r["doc_id"]: r["score"] for r in context_tree.score_documents(spark, frame).collect()}
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-3
-    small = {r["doc_id"]: r["score"] for r in context_tree.score_documents(spark, frame, block_bytes=500).collect()}
-    assert small == got
+    for hot in (0, 40):
+        few = {r["doc_id"]: r["score"] for r in context_tree.score_documents(spark, frame, hot_keys=hot).collect()}
+        assert few.keys() == got.keys() and max(abs(few[i] - got[i]) for i in got) < 1e-6
+
+
+def test_context_tree_odd_inputs(spark, odd):
+    """Extra columns do not matter; a very long text is scored whole."""
+    got = context_tree.score_documents(spark, odd).collect()
+    assert len(got) == odd.count() and Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in odd.collect())
+    text = next(r["text"] for r in odd.collect() if r["doc_id"] == 7)
+    train = [r["text"] or "" for r in odd.collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10]
+    small = [t for t in train if len(t) < 1000]
+    plain = odd.where("length(text) < 1000 OR text IS NULL")
+    score = tree_model([t.encode() for t in small])
+    for r in context_tree.score_documents(spark, plain).collect():
+        if r["doc_id"] in (0, 3, 4, 8):
+            t = next(x["text"] for x in odd.collect() if x["doc_id"] == r["doc_id"]) or ""
+            assert math.isclose(r["score"], score(t.encode()), abs_tol=1e-3)
+            assert math.isclose(r["bits_per_byte"], -r["score"] * math.log2(10) / (len(t.encode()) + 1))
+    long = next(r for r in got if r["doc_id"] == 7)
+    assert long["n_tokens"] == len(words(text)) + 1 and 0 < long["bits_per_byte"] < 8
 
 
 # ---- 6 quality rules ------------------------------------------------------------------
