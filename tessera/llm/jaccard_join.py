@@ -7,13 +7,17 @@ heavy: they scan inverted lists, of which a link needs only those of their
 first n - c + 1 tokens in one global order, c being the overlap that the pair
 needs.  The order puts frequent tokens last, as told by a fixed-size count
 sketch of all shingles; any order gives the same result.  The boundary is
-where the estimated cost of both parts is least.
+where the estimated cost is least: the subsets that light sets would write
+against the lists that heavy sets of that size join, priced by the lengths
+that these lists have among the texts.
 
 Meeting classes are not compared all with all.  In every list the members are
 first compared with one hub, links make components, and only then pairs of
 different components remain, which are all compared, so no link between
 components is lost.  Bounds on size, position and the known prefixes dismiss
 most pairs exactly before whole sets, read again from the texts, are compared.
+The links of every class are counted at last within its component, in blocks
+of sets that a task holds at once, so that no pair of a dense group is written.
 
 Words are runs of characters other than space and U+0009 to U+000D after
 lower-casing A-Z; shingles are told by 64-bit hashes, classes by 128 bits.
@@ -36,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, tune
+from tessera.llm.common import Scratch, lists_of, tune
 from tessera.llm.components import connected_components
 
 SKETCH = 1 << 23
-#: Sizes that may be light at all, and the cost of one inverted list in keys.
-MOST_LIGHT, LIST_COST = 32, 4
+#: Sizes that may be light at all, and the small sets of a task that tell the
+#: lengths of lists (an estimate; it never changes results).
+MOST_LIGHT, PRICED_SETS = 32, 50_000
+#: Sets and shingles of a component that one block holds at most.
+BLOCK_SETS, BLOCK_SHINGLES = 1_000, 1_000_000
 _BLOOM = 1 << 24
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,9 +87,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.cumprod(np.full(1 << 16, 0x100000001B3, "u8"))
-
-
 def _word_hashes(data: bytes) -> np.ndarray:
     """64-bit hash of each word of lower-cased bytes."""
     b = np.frombuffer(data, "u1")
@@ -121,9 +125,20 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view("i8")), int(b.view("i8"))
 
 
-def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each sketch cell (0 = not frequent) and the histogram of small
-    set sizes; both of fixed size.
+def _list_costs(small: list[np.ndarray], cells: np.ndarray, total: int, rule: Rule) -> np.ndarray:
+    """By set size, the postings that the small sets of a task would write if
+    they were heavy, and the entries of other sets in their lists."""
+    out = np.zeros((2, MOST_LIGHT + 1))
+    for s in small:
+        others = cells[(s % np.uint64(SKETCH)).astype("i8")] - 1 - total / SKETCH
+        rarest = np.sort(np.maximum(others, 0))[: rule.prefix(len(s))]
+        out[:, len(s)] += len(rarest), rarest.sum()
+    return out
+
+
+def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each sketch cell (0 = not frequent), the histogram of small
+    set sizes and the cost of their lists; all of fixed size.
 
     A task counts the shingles of its documents by cell and passes on the
     cells that stand out from its own mean; their sums rank the cells.
@@ -131,18 +146,21 @@ def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, sizes = np.zeros(SKETCH, "i4"), np.zeros(MOST_LIGHT + 1, "i8")
+        small: list[np.ndarray] = []
         for b in batches:
             sets = [shingles(t, rule.words) for t in b.column(0).to_pylist()]
             if sets:
                 at, n = np.unique((np.concatenate(sets) % np.uint64(SKETCH)).astype("i8"), return_counts=True)
                 cells[at] += n.astype("i4")
                 sizes += np.bincount(np.minimum([len(s) for s in sets], MOST_LIGHT), minlength=MOST_LIGHT + 1)
+                small += [s for s in sets if 0 < len(s) < MOST_LIGHT][: PRICED_SETS - len(small)]
         total = int(cells.sum(dtype="i8"))
         mean = total / SKETCH
         out = np.flatnonzero(cells >= mean + 2 * np.sqrt(mean) + 1)
-        # Negative cells hold the total and the sizes.
-        cell = np.concatenate([out, [-1], -2 - np.arange(MOST_LIGHT + 1)])
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([cells[out], [total], sizes]).astype("i8"))], ["cell", "n"])
+        costs = _list_costs(small, cells, total, rule) * max(1.0, sizes[1:MOST_LIGHT].sum() / max(1, len(small)))
+        # Negative cells hold the total, the tasks, the sizes and the costs.
+        cell = np.concatenate([out, [-1, -2], -3 - np.arange(3 * (MOST_LIGHT + 1))])
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([cells[out], [total, 1], sizes, *costs]).astype("i8"))], ["cell", "n"])
 
     sums = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
@@ -150,14 +168,21 @@ def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     counts = np.zeros(SKETCH, "f4")
     counts[cell[cell >= 0]] = n[cell >= 0]
     mean = small.get(-1, 0) / SKETCH
-    sizes = np.array([small.get(-2 - k, 0) for k in range(MOST_LIGHT + 1)])
-    return np.clip(2 * np.log2(1 + counts / np.float32(mean + 8)), 0, 120).astype("u1"), sizes
+    sizes, postings, entries = np.array([small.get(-3 - k, 0) for k in range(3 * (MOST_LIGHT + 1))], "f8").reshape(3, -1)
+    # Lists are as much longer over all tasks as they are in one.
+    return np.clip(2 * np.log2(1 + counts / np.float32(mean + 8)), 0, 120).astype("u1"), sizes, postings + small.get(-2, 0) * entries
+
 
+def _boundary(rule: Rule, sizes: np.ndarray, costs: np.ndarray) -> int:
+    """Sets smaller than this are light: least sum of the subset keys of the
+    light sizes and the lists of the heavy ones.  Heavy lists also hold the
+    light sets that may link with heavy ones."""
 
-def _boundary(rule: Rule, sizes: np.ndarray) -> int:
-    """Sets smaller than this are light: least cost of keys and lists."""
-    costs = [sum(int(sizes[n]) * (rule.subsets(n) if n < b else LIST_COST * rule.prefix(n)) for n in range(1, MOST_LIGHT)) for b in range(1, MOST_LIGHT + 1)]
-    return 1 + int(np.argmin(costs))
+    def cost(b: int) -> float:
+        heavy = sum(costs[n] for n in range(rule.least(b), MOST_LIGHT))
+        return heavy + sum(sizes[n] * rule.subsets(n) for n in range(1, b))
+
+    return 1 + int(np.argmin([cost(b) for b in range(1, MOST_LIGHT + 1)]))
 
 
 def _light_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
@@ -194,7 +219,8 @@ def _profiles(docs: DataFrame, rule: Rule, classes, boundary: int) -> DataFrame:
                 n, a, c, light, heavy = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(light, pa.list_(pa.int64())), pa.array(heavy, pa.list_(pa.int64()))], ["doc_id", "row", "n", "sig1", "sig2", "light", "heavy"])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(profile, "doc_id long, row long, n long, sig1 long, sig2 long, light array<long>, heavy array<long>")
+    kind = docs.schema["row"].dataType.simpleString()
+    return docs.select("doc_id", "text", "row").mapInArrow(profile, f"doc_id long, row {kind}, n long, sig1 long, sig2 long, light array<long>, heavy array<long>")
 
 
 def _pair_bound(rule: Rule, n: str, m: str) -> str:
@@ -222,32 +248,43 @@ def _survivors(pairs: DataFrame, classes: DataFrame, rule: Rule, cells) -> DataF
     def dismiss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = np.frombuffer(cells.value, "u1")
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            for i, ((na, nb), left, right) in enumerate(zip(sizes, batch.column(4), batch.column(5), strict=True)):
-                x, y = (np.asarray(v.values).view("u8") for v in (left, right))
-                if len(x) and len(y):
-                    need = rule.overlap(na, nb)
-                    keep[i] = _possible(x, y, cell, na - need, nb - need)
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
+            if batch.num_rows:
+                yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(_possible(batch, cell, rule)))
 
     return both.mapInArrow(dismiss, "a long, b long, na long, nb long")
 
 
-def _possible(x: np.ndarray, y: np.ndarray, cell: np.ndarray, lack_x: int, lack_y: int) -> bool:
-    every, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    order = np.lexsort((every, cell[(every % np.uint64(SKETCH)).astype("i8")]))
-    rank = np.empty(len(every), np.int64)
-    rank[order] = np.arange(len(every))
-    rx, ry = rank[at[: len(x)]], rank[at[len(x) :]]
-    end = min(rx.max(), ry.max())
-    rx, ry = rx[rx <= end], ry[ry <= end]
-    both = len(np.intersect1d(rx, ry, assume_unique=True))
-    return len(rx) - both <= lack_x and len(ry) - both <= lack_y
-
-
-def _verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule, name: str) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+def _possible(batch: pa.RecordBatch, cell: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether the prefixes pa and pb of each row allow a link."""
+    rows = batch.num_rows
+    na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+    need = rule.overlap(na, nb)
+    sides = []
+    for name in ("pa", "pb"):
+        lists = batch.column(name)
+        sides.append((np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().view("u8")))
+    pair = np.concatenate([p for p, _ in sides])
+    if not len(pair):
+        return np.ones(rows, bool)
+    token, left = np.concatenate([t for _, t in sides]), np.arange(len(pair)) < len(sides[0][0])
+    kind = cell[(token % np.uint64(SKETCH)).astype("i8")]
+    order = np.lexsort((token, kind, pair))
+    pair, token, left = pair[order], token[order], left[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (token[1:] != token[:-1])
+    rank = np.cumsum(new)  # equal tokens of a pair have one rank
+    last = np.full((2, rows), -1)
+    np.maximum.at(last[0], pair[left], rank[left])
+    np.maximum.at(last[1], pair[~left], rank[~left])
+    known = rank <= last.min(0)[pair]
+    twice = np.bincount(pair[known & ~new], minlength=rows)
+    lack_a = np.bincount(pair[known & left], minlength=rows) - twice
+    lack_b = np.bincount(pair[known & ~left], minlength=rows) - twice
+    return ((lack_a <= na - need) & (lack_b <= nb - need)) | (last.min(0) < 0)
+
+
+def _verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule, name: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose whole sets are similar enough, and the sets."""
     pairs = scratch.save(pairs, f"{name}-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = scratch.save(classes.join(nodes, "node").select("node", "doc_id", "sig1", "sig2"), f"{name}-wanted")
@@ -275,24 +312,81 @@ def _verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, classes: D
     common = F.size(F.array_intersect("sa", "sb"))
     links = both.where(common * (rule.den + rule.num) >= rule.num * (F.col("na") + F.col("nb"))).select("a", "b")
     links = scratch.save(links, f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-wanted")
-    return links
+    scratch.drop(f"{name}-wanted")
+    return links, sets
+
+
+def _linked(n: np.ndarray, members: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Matrix of links among sets.  Shingles that the same sets hold count at
+    once: near copies differ in a few kinds of shingles only."""
+    row = np.repeat(np.arange(len(n)), [len(m) for m in members])
+    order = np.argsort(token := np.concatenate(members), kind="stable")
+    row, token = row[order], token[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    # Two hashes of the rows of a shingle tell its kind.
+    marks = [np.add.reduceat(_mix(row.astype("u8") + np.uint64(c)), first) for c in (1, 1 << 40)]
+    kinds, at, weight = np.unique(np.stack([*marks, size.astype("u8")], 1)[size > 1], axis=0, return_index=True, return_counts=True)
+    first, size = first[size > 1][at], size[size > 1][at]
+    common = np.zeros((len(n), len(n)))
+    for a in range(0, len(kinds), 2048):
+        part = slice(a, a + 2048)
+        held = np.zeros((len(n), len(first[part])))
+        for k, (f, z) in enumerate(zip(first[part], size[part], strict=True)):
+            held[row[f : f + z], k] = 1
+        common += (held * weight[part]) @ held.T
+    out = common * (rule.den + rule.num) >= rule.num * (n[:, None] + n[None])
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _link_counts(scratch: Scratch, classes: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(node, n): documents of other classes that each class links with, for
+    all classes in a component of several."""
+    rows = sets.join(labels, "node").join(classes.select("node", "times"), "node")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("sets"), F.sum(F.size("members")).alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    parts = max(1, -(-labels.count() // BLOCK_SETS))
+    rows = rows.join(sizes.select("label", blocks.alias("blocks")), "label")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    low, high, one = F.least("block", "other"), F.greatest("block", "other"), F.col("blocks") == 1
+    # Small components share a task, large ones take one per pair of blocks.
+    group = F.when(one, F.pmod(F.xxhash64("label"), F.lit(parts))).otherwise(F.col("label"))
+    pair = F.when(one, F.lit(-1).cast("long")).otherwise(low.cast("long") * (1 << 31) + high)
+    rows = rows.select(group.alias("group"), pair.alias("pair"), "label", (low != high).alias("crossed"), "block", "node", "times", "members")
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label, node, times, block = (table.column(c).to_numpy() for c in ("label", "node", "times", "block"))
+        crossed, members = table.column("crossed").to_numpy(), lists_of(table.column("members"))
+        out = np.zeros(len(node), "i8")
+        order = np.argsort(label, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            held = [members[i] for i in own]
+            links = _linked(np.array([len(m) for m in held]), held, rule)
+            if crossed[own[0]]:
+                links &= block[own][:, None] != block[own][None]
+            out[own] = links @ times[own]
+        return pa.table({"node": node, "n": out})
+
+    counted = rows.groupBy("group", "pair").applyInArrow(count, "node long, n long")
+    return scratch.save(counted.groupBy("node").agg(F.sum("n").alias("n")), "counted")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, group_id and n_links (links
-    of the class to others that were needed) of every row; group_id tells
-    components apart even without doc_ids and is null for empty sets.  ``row``
-    repeats ``row_col`` of the input."""
+    """doc_id, n_shingles, component_id, class_id, group_id and n_links (the
+    other documents that link with it, copies included) of every row; group_id
+    tells components apart even without doc_ids and is null for empty sets.
+    ``row`` repeats ``row_col`` of the input, of any type."""
     tune(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
-    cells, sizes = _sketch(docs, rule)
-    boundary = _boundary(rule, sizes)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("row"))
+    cells, sizes, costs = _sketch(docs, rule)
+    boundary = _boundary(rule, sizes, costs)
     order = spark.sparkContext.broadcast(cells.tobytes())
     rows = scratch.save(_profiles(docs, rule, order, boundary), "rows")
 
-    named = rows.where("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
+    named = rows.where("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
     classes = scratch.save(named.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     heavy = classes.select("node", "n", F.posexplode("heavy").alias("pos", "token"))
@@ -308,7 +402,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, rule: Rule = Rule()
     star = star.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("times"))
     best = star.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     tried = _survivors(best, classes, rule, order)
-    links = _verified(spark, scratch, docs, classes, tried, rule, "star")
+    links, star_sets = _verified(spark, scratch, docs, classes, tried, rule, "star")
     labels = connected_components(scratch, links, "star-cc")
 
     # What is left: pairs of different components in one list.
@@ -319,16 +413,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, rule: Rule = Rule()
     open_lists = scratch.save(marked.join(mixed, "token"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     rest = x.join(y, F.expr(f"x.token = y.token AND x.label < y.label AND {_fits(rule, 'x', 'y')}")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
-    more = _verified(spark, scratch, docs, classes, _survivors(rest, classes, rule, order), rule, "rest")
-    every = links.unionByName(more)
-    labels = connected_components(scratch, every, "all-cc")
-    ends = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").count()
-
-    joined = classes.join(labels, "node", "left").join(ends, "node", "left").select("sig1", "sig2", "node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("count", F.lit(0)).alias("n_links"))
+    more, rest_sets = _verified(spark, scratch, docs, classes, _survivors(rest, classes, rule, order), rule, "rest")
+    scratch.drop("posts", "marked", "open", "hubs", "mixed")
+    labels = connected_components(scratch, links.unionByName(more), "all-cc")
+    # Every class of a component was compared, so its set is at hand.
+    sets = star_sets.unionByName(rest_sets.join(star_sets.select("node"), "node", "left_anti"))
+    counted = _link_counts(scratch, classes, labels, sets, rule)
+
+    linked = (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links")
+    joined = classes.drop("n").join(labels, "node", "left").join(counted, "node", "left").select("sig1", "sig2", "node", "doc_id", F.coalesce("label", "node").alias("label"), linked)
     joined = scratch.save(joined, "joined")
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     whole = scratch.save(joined.join(least, "label").select("sig1", "sig2", "node", "label", "component_id", "n_links"), "named")
-    scratch.drop("posts", "marked", "open", "hubs", "mixed", "joined")
+    scratch.drop("star-sets", "rest-sets", "star-pairs", "rest-pairs", "joined")
     out = rows.select("doc_id", "row", "n", "sig1", "sig2").join(whole, ["sig1", "sig2"], "left")
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~empty, F.col("node")).alias("class_id"), F.when(~empty, F.col("label")).alias("group_id"), "row", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -133,6 +133,7 @@ def brute(rows, k, num):
         w = words(text)
         sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
     label = list(range(len(rows)))
+    links = [0] * len(rows)
 
     def find(i):
         while label[i] != i:
@@ -143,11 +144,13 @@ def brute(rows, k, num):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 label[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     low = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             low[find(i)] = min(low.get(find(i), d), d)
-    return sorted(((d if d is not None else -1, len(s), low.get(find(i), -1) if s else (d if d is not None else -1)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))))
+    return sorted(((d if d is not None else -1, len(s), low.get(find(i), -1) if s else (d if d is not None else -1), links[i]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))))
 
 
 def variants():
@@ -171,7 +174,29 @@ def test_jaccard_against_brute_force(spark, odd, k, num):
     rows = variants() + [(1000 + r["doc_id"] if r["doc_id"] is not None else None, r["text"]) for r in odd.collect()]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = jaccard_join.jaccard_components(spark, frame, jaccard_join.Rule(k, num)).collect()
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in got) == brute(rows, k, num)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1, r["n_links"]) for r in got) == brute(rows, k, num)
+
+
+def test_jaccard_counts_links_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    rows = variants()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = jaccard_join.jaccard_components(spark, frame, jaccard_join.Rule(3, 90)).collect()
+    want = brute(rows, 3, 90)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == want and max(w[3] for w in want) > 6
+
+
+def test_jaccard_boundary_follows_the_lists(spark):
+    """Small sets that share a frequent shingle are worth enumerating."""
+    rule = jaccard_join.Rule(3, 90)
+    apart = [(i, " ".join(f"u{i}x{k}" for k in range(16))) for i in range(300)]
+    alike = [(i, " ".join([f"w{(i >> k) & 1}v{k}" for k in range(11)] * 2)) for i in range(300)]
+    found = []
+    for rows in (apart, alike):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        _, sizes, costs = jaccard_join._sketch(frame, rule)
+        found.append(jaccard_join._boundary(rule, sizes, costs))
+    assert found[0] < found[1] > 10, found
 
 
 def test_jaccard_parts(spark, none):
@@ -472,7 +497,7 @@ def test_pipeline_stages(spark):
         counts.append(docs.count())
     assert counts[0] > counts[1] >= counts[2] == counts[3] and counts[4] > 0
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert len({d for d, _ in rows}) == len({c for _, _, c in brute([(i, t) for i, (_, t) in enumerate(dict(rows).items())], 5, 80)})
+    assert len({d for d, _ in rows}) == len({c for _, _, c, _ in brute([(i, t) for i, (_, t) in enumerate(dict(rows).items())], 5, 80)})
     packed = p.packing_stage(spark, docs, sf).collect()
     assert sum(r["length"] for r in packed) == sum(len(plain_ids(t)) + 1 for _, t in rows)
 
