@@ -1,11 +1,15 @@
 """Adaptive quality rules, in DataFrame and SQL functions only.
 
 Every document gets whole-text statistics.  Per language and source, KLL
-quantile sketches of the ratios derived from them give the quartiles; sketches
-of small groups are merged by language.  A document that passes the base rule
-fails the adaptive one where a ratio lies beyond its group's fence: the upper
-quartile plus ``SPREAD`` interquartile ranges plus a slack that covers groups
-whose quartiles coincide (mean word length has a lower fence as well).
+quantile sketches of the ratios derived from them give the quartiles, which
+are drawn towards those of the merged sketches of the language: a group counts
+with its number of documents, the language with ``PRIOR`` ones, so that the
+fences change without a jump as a group grows.  A document that passes the
+base rule fails the adaptive one where a ratio lies beyond its group's fence:
+the upper quartile plus ``SPREAD`` interquartile ranges plus a slack (mean
+word length has a lower fence as well).  Where both quartiles are 0, as those
+of symbols, repeated lines, repeated windows and marks are in clean text, the
+slack alone is the fence.
 
 Words are runs of characters other than space and U+0009 to U+000D.  Repeated
 3-word windows are told by 64-bit hashes within one document.
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 
 MIN_WORDS = 50
-#: Groups below this size use the merged sketches of their language.
-MIN_GROUP = 200
+#: Documents that the language counts for beside those of a group.
+PRIOR = 200
 SKETCH_K = 800
 SPREAD = 4.0
 #: Ratio -> slack above the upper fence.
@@ -86,8 +90,8 @@ def fences(ratios: DataFrame) -> DataFrame:
     both = sketches.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")))
     out = []
     for c, slack in SLACK.items():
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(c)).otherwise(F.col(f"{c}_lang"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
+        own, lang = ([F.kll_sketch_get_quantile_double(F.col(s), F.lit(q)) for q in (0.25, 0.75)] for s in (c, f"{c}_lang"))
+        low, high = ((F.col("n") * a + PRIOR * b) / (F.col("n") + PRIOR) for a, b in zip(own, lang, strict=True))
         out.append((high + SPREAD * (high - low) + slack).alias(f"{c}_max"))
         if c == "mean_word":
             out.append((low - SPREAD * (high - low) - slack).alias(f"{c}_min"))
