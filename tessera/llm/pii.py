@@ -6,29 +6,34 @@ values never do, and separators, length and check digits stay valid.
 
 Kinds, in order of precedence:
 
-* payment cards: 13 to 19 digits, single spaces or hyphens between, Luhn
-  valid; first digit kept, check digit computed anew;
+* e-mail addresses, passwords and tokens have no format worth keeping: 128
+  bits of a keyed digest replace the address or the secret;
+* access keys: prefix kept, the 16 places permuted among those of A-Z and 0-9;
 * IBANs, mod-97 valid, letters and digits of the account each permuted in
   their own alphabet; check digits anew;
-* US social security numbers ``ddd-dd-dddd`` of an assignable range;
 * phone numbers in the North American form: all ten digits, country code kept;
+* payment cards: 13 to 19 digits, single spaces or hyphens between, Luhn
+  valid; first digit kept, check digit computed anew;
+* US social security numbers ``ddd-dd-dddd`` of an assignable range;
 * IPv4 addresses;
-* dates of 1900-2099: ``yyyy-mm-dd``, ``dd.mm.yyyy`` and ``mm/dd/yyyy``;
-* e-mail addresses, passwords, tokens and access keys have no format worth
-  keeping: a keyed digest of the value replaces the local part or the secret.
+* dates of 1900-2099: ``yyyy-mm-dd``, ``dd.mm.yyyy`` and ``mm/dd/yyyy``.
 
 The network alternates between Z_a and Z_b: x <- x + F(key, kind, round, y)
 mod a, then the halves change roles.  Each step is invertible, so the whole is
-a permutation of the a * b values of the kind, without cycle walking.
-
-Defined cases: a null text stays null with no findings; numbers that fail
-their check stay as they are; every other column passes through, so ties and
-repeated rows are treated alike.
+a permutation of the a * b values of the kind, without cycle walking.  The key
+reaches the expressions as a column of a one-row table, so that executed plans
+do not show it.
+
+Defined cases: a null text stays null with no findings; an empty table gives
+none; texts of any length are read whole; numbers that fail their check stay
+as they are; every other column passes through whatever its name, but for one
+named as ``count_col``, which is replaced; ties and repeated rows are treated
+alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -63,8 +68,8 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _mix(key: str, kind: str, x: str, y: str, a: str, b: str) -> str:
-    """struct(x, y) after the network; x in Z_a, y in Z_b."""
-    f = f"CAST(conv(substring(sha2(concat_ws(':', {_lit(key)}, {_lit(kind)}, CAST(r AS string), CAST(acc.y AS string)), 256), 1, 15), 16, 10) AS bigint)"
+    """struct(x, y) after the network; x in Z_a, y in Z_b.  ``key`` is SQL."""
+    f = f"CAST(conv(substring(sha2(concat_ws(':', {key}, {_lit(kind)}, CAST(r AS string), CAST(acc.y AS string)), 256), 1, 15), 16, 10) AS bigint)"
     swap = f"named_struct('x', acc.y, 'y', (acc.x + {f}) % if(r % 2 = 1, {a}, {b}))"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('x', CAST({x} AS bigint), 'y', CAST({y} AS bigint)), (acc, r) -> {swap})"
 
@@ -114,7 +119,7 @@ def _mod97(s: str) -> str:
 
 def _replacement(key: str, m: str = "m") -> str:
     """SQL of the pseudonym of one match."""
-    digest = lambda x: f"sha2(concat({_lit(key + ':')}, {x}), 256)"
+    digest = lambda x: f"left(sha2(concat({key}, ':', {x}), 256), 32)"
     is_kind = lambda k: f"{m} RLIKE {_lit('^(?:' + PATTERNS[k] + ')$')}"
     luhn_tail = lambda body: f"concat({body}, CAST((10 - {_luhn(f'''concat({body}, '0')''')} % 10) % 10 AS string))"
     card = _let(_digits(m), "d", f"if({_luhn('d')} % 10 = 0, " + _let(_let("substring(d, 2, length(d) - 2)", "inner", f"concat(substring(d, 1, 1), {_permuted_digits(key, 'card', 'inner')})"), "body", _let(luhn_tail("body"), "full", _refill(m, "full"))) + f", {m})")
@@ -136,24 +141,34 @@ def _replacement(key: str, m: str = "m") -> str:
     iso = f"CASE WHEN {m} RLIKE '^[0-9]{{4}}-' THEN {m} WHEN {m} RLIKE '/' THEN concat_ws('-', substring({m}, 7, 4), substring({m}, 1, 2), substring({m}, 4, 2)) ELSE concat_ws('-', substring({m}, 7, 4), substring({m}, 4, 2), substring({m}, 1, 2)) END"
     number = "CAST(datediff(day, DATE'1900-01-01') AS bigint)"
     date = _let(f"try_cast({iso} AS date)", "day", f"if(day IS NULL, {m}, " + _let(_mix(key, "date", f"{number} div {_DAYS[1]}", f"{number} % {_DAYS[1]}", str(_DAYS[0]), str(_DAYS[1])), "mix", f"date_format(date_add(DATE'1900-01-01', CAST(mix.x * {_DAYS[1]} + mix.y AS int)), {form})") + ")")
-    email = f"concat('user-', substring({digest(f'lower({m})')}, 1, 12), '@example.invalid')"
+    email = f"concat('user-', {digest(f'lower({m})')}, '@example.invalid')"
     head = f"regexp_extract({m}, {_lit(r'^[A-Za-z_]+ ?[=:] ?' + chr(34) + '?')}, 0)"
-    secret = f"concat({head}, 'redacted-', substring({digest(f'substring({m}, length({head}) + 1)')}, 1, 16))"
-    access = f"concat(left({m}, 4), upper(substring({digest(m)}, 1, 16)))"
+    secret = f"concat({head}, 'redacted-', {digest(f'substring({m}, length({head}) + 1)')})"
+    half = lambda at: f"CAST(conv(substring({m}, {at}, 8), 36, 10) AS bigint)"
+    access = _let(_mix(key, "access_key", half(5), half(13), str(36**8), str(36**8)), "mix", f"concat(left({m}, 4), lpad(conv(mix.x, 10, 36), 8, '0'), lpad(conv(mix.y, 10, 36), 8, '0'))")
     cases = [("email", email), ("secret", secret), ("access_key", access), ("iban", iban), ("phone", phone), ("card", card), ("ssn", ssn), ("ipv4", ipv4), ("date", date)]
     return "CASE " + " ".join(f"WHEN {is_kind(k)} THEN {sql}" for k, sql in cases) + f" ELSE {m} END"
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def _unused(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: str | Column, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the pseudonymised text in place; with ``count_col`` also
-    the number of values that changed."""
-    text = F.col(text_col)
-    hit = text.rlike(_HINT)
-    found = F.when(hit, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    staged = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    staged = staged.withColumn("_given", F.expr(f"transform(_found, m -> {_replacement(key)})"))
-    joined = F.expr(f"array_join(zip_with(split({text_col}, {_lit(_ANY)}, -1), _given, (s, g) -> concat(s, coalesce(g, ''))), '')")
-    changed = F.expr("size(filter(zip_with(_found, _given, (m, g) -> m <> g), x -> x))")
-    names = [c for c in docs.columns if c != text_col]
-    out = staged.select(*(F.col(c) for c in names), F.when(F.size("_found") == 0, text).otherwise(joined).alias(text_col), *([changed.alias(count_col)] if count_col else []))
-    return out.select(*docs.columns, *([count_col] if count_col else []))
+    the number of values that changed.  ``key`` may be a column, such as a
+    scalar query of a table of secrets."""
+    if isinstance(key, str):
+        key = docs.sparkSession.sql("SELECT k FROM VALUES (:k) AS t(k)", {"k": key}).scalar()
+    text, secret, found, given = F.col(text_col), *(_unused(docs, n) for n in ("_key", "_found", "_given"))
+    none = F.array().cast("array<string>")
+    matches = F.coalesce(F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))), none)
+    staged = docs.withColumns({found: matches, secret: key})
+    staged = staged.withColumn(given, F.expr(f"transform({found}, m -> {_replacement(secret)})"))
+    joined = F.expr(f"array_join(zip_with(split({text_col}, {_lit(_ANY)}, -1), {given}, (s, g) -> concat(s, coalesce(g, ''))), '')")
+    changed = F.expr(f"size(filter(zip_with({found}, {given}, (m, g) -> m <> g), x -> x))")
+    whole = F.when(F.size(found) == 0, text).otherwise(joined).alias(text_col)
+    out = [whole if c == text_col else F.col(c) for c in docs.columns if c != count_col]
+    return staged.select(*out, *([changed.alias(count_col)] if count_col else []))
