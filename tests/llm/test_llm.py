@@ -229,8 +229,29 @@ def test_embeddings(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert got[605 - 5]["component_id"] == 0 and not got[600]["kept"]
     result = embedding_dedup.near_duplicates(spark, frame.where("vec_id < 9000"), shard_size=100)
-    assert embedding_dedup.recall(spark, frame.where("vec_id < 9000"), result) >= 0.9
+    assert embedding_dedup.recall(spark, frame, result, every=5) >= 0.9
     assert embedding_dedup.near_duplicates(spark, frame.limit(0)).count() == 0
+    # Other columns do not matter; doubles beyond single precision keep their place.
+    wide = frame.where("vec_id < 50").selectExpr("vec_id", "embedding", "'x' AS good", "1 AS node", "2 AS label", "3 AS shard", "4 AS times")
+    assert embedding_dedup.near_duplicates(spark, wide).columns == ["vec_id", "n_links", "component_id", "kept"]
+    huge = spark.createDataFrame([(1, [1e39, 0.0]), (2, [2e39, 0.0]), (3, [1e300, 1e300]), (4, [1e-300, 1e-300]), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(spark, huge).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_embeddings_in_levels(spark, monkeypatch):
+    """Shards are dealt on in levels, and what does not split in blocks."""
+    e = embedding_dedup
+    for name, value in (("SAMPLE", 40), ("SHARD_MOST", 60), ("SHARD_SIZE", 30), ("SUB_SAMPLE", 100), ("FANOUT", 6)):
+        monkeypatch.setattr(e, name, value)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(60, 12)), 8, 0) + rng.normal(scale=0.04, size=(480, 12)), rng.normal(size=(1, 12)) + rng.normal(scale=1e-3, size=(150, 12)), rng.normal(size=(300, 12))]).astype("f4")
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    audit: dict = {}
+    got = {r["vec_id"]: r["n_links"] for r in e.near_duplicates(spark, frame, shard_size=30, audit=audit).collect()}
+    y = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    truth = (y @ y.T >= 0.95).sum(1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= truth).all() and found.sum() >= 0.9 * truth.sum() and 0.9 <= audit["recall"] <= 1
 
 
 # ---- 5 language model ---------------------------------------------------------------
