@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, numbered, release, table
 from tessera.llm.jaccard_join import Rule, jaccard_components
 from tessera.llm.mixing import copies, label_domains, mix
 from tessera.llm.packing import pack_pieces, token_pieces
@@ -34,8 +34,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five words, a
     similarity of 0.8), the one of smallest doc_id; all wordless texts stay."""
-    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
-    found = Scratch(spark, "dedup").save(jaccard_components(spark, rows, Rule(words=5, num=80), row_col="_row"), "groups")
+    scratch = Scratch(spark, "dedup")
+    rows = numbered(scratch, docs).select(*COLUMNS, "_row")
+    found = scratch.save(jaccard_components(spark, rows, Rule(words=5, num=80), row_col="_row"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
     kept = found.where("group_id IS NOT NULL").groupBy("group_id").agg(first).select(F.col("first.row").alias("_row"))
     kept = kept.unionByName(found.where("group_id IS NULL").select(F.col("row").alias("_row")))
@@ -76,9 +77,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    scratch = Scratch(spark, "pipeline")
+    """All stages over the documents table.  What a stage left behind goes as
+    soon as its result is written."""
     docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    others = [s for s in Scratch.folders if s is not scratch]
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        release(scratch, *others)
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

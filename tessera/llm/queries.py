@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import context_tree, embedding_dedup, mixing, pii, quality_classifier, quality_rules, toxicity
 from tessera.llm.common import table
 from tessera.llm.jaccard_join import Rule, jaccard_components
+from tessera.llm.oracles import ORACLE_SQL
 from tessera.llm.packing import pack_pieces, token_pieces
 from tessera.llm.token_output import read_token_documents, token_output
 
@@ -25,7 +26,8 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark, table(spark, sf_dir, "documents"), Rule(words=3, num=90)).drop("row")
+    found = jaccard_components(spark, table(spark, sf_dir, "documents"), Rule(words=3, num=90))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,8 @@ def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
+    found = quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
+    return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
-#: None of these has an equivalent that SQL can run on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

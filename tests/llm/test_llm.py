@@ -623,5 +623,38 @@ def test_pipeline_mixing_meets_targets(spark, tmp_path):
         assert abs(sum(of[r["text"]]["n_tokens"] * of[r["text"]]["posterior"][d] for r in got) / total - target) < 0.03, d
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
+    key = got.columns[0]
+    got, want = (x[sorted(x.columns)].sort_values(key).reset_index(drop=True) for x in (got, want))
+    for c in got.columns:
+        assert (got[c] == want[c]).all(), c
+
+
+def test_pipeline_odd_inputs(spark, odd, none, tmp_path):
+    """Nulls, repeated and missing ids, empty and long texts, empty tables,
+    clashing columns: every stage gives the columns of documents."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (7, 0, 1), (8, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd.write.parquet(f"{tmp_path}/odd")
+    for docs, rows in ((spark.read.parquet(f"{tmp_path}/odd"), odd.count()), (none, 0)):
+        for k, (_, stage) in enumerate(p.STAGES[:-1]):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == list(p.COLUMNS)
+            # Two rows of "one" and two equal texts: two go in the second stage.
+            assert out.count() == (rows - 2 if k == 1 and rows else out.count()) and (k != 2 or out.count() == rows)
+        packed = p.packing_stage(spark, docs, str(tmp_path))
+        assert packed.where("piece = 0").count() == rows
+
+
 def test_registry():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
