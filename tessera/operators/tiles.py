@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import mercator, morton
+from tessera.operators.dataset import TOP_TIER
 from tessera.operators.shapes import touches
 
 
@@ -14,6 +15,41 @@ def tile_points(points: DataFrame, z: int, x: int, y: int) -> DataFrame:
     return points.where(morton.in_tile(F.col("qkey"), z, x, y))
 
 
+Tile = tuple[int, int, int]
+
+
+def around(tiles: list[Tile], spread: int) -> list[Tile]:
+    """Tiles of one zoom and those up to ``spread`` tiles away."""
+    out = {(z, x + i, y + j) for z, x, y in tiles for i in range(-spread, spread + 1) for j in range(-spread, spread + 1)}
+    return sorted(t for t in out if 0 <= t[1] < 1 << t[0] and 0 <= t[2] < 1 << t[0])
+
+
+def points_near(points: DataFrame, tiles: list[Tile], spread: int = 0) -> DataFrame:
+    """Points whose key lies in the ranges of these tiles (a few ranges that
+    may cover a little more): what a request reads of the stored points."""
+    if any(z <= 0 for z, _, _ in tiles):
+        return points
+    ranges = morton.merged_ranges([morton.tile_range(*t) for t in around(tiles, spread)])
+    return points.where(morton.in_ranges(F.col("qkey"), ranges))
+
+
+def lines_near(lines: DataFrame, tiles: list[Tile], deepest: int | None = None) -> DataFrame:
+    """Lines that may meet tiles of one zoom, by folder and key range: those
+    that start in a tile, and per level above it those of its ancestors."""
+    z = tiles[0][0]
+    key, level = F.col("qkey"), F.col("level")
+    below = level > z
+    if deepest is not None:
+        below = below & (level <= z + deepest)
+    own = [morton.tile_range(*t) for t in tiles]
+    found = below & morton.in_ranges(key, morton.merged_ranges(own)) if z else below
+    for up in range(z + 1):
+        at = sorted({(z - up, x >> up, y >> up) for _, x, y in tiles})
+        reach = morton.in_ranges(key, morton.merged_ranges([morton.tile_range(*t) for t in at], 16)) if z > up else F.lit(True)
+        found = found | ((level == z - up) & reach)
+    return lines.where(found)
+
+
 def points_of_tiles(points: DataFrame, tiles: DataFrame, zooms: list[int]) -> DataFrame:
     """Points with every listed tile they fall in: an equi-join by tile."""
     at = points.withColumn("z", F.explode(F.array(*(F.lit(z) for z in zooms))))
@@ -22,7 +58,7 @@ def points_of_tiles(points: DataFrame, tiles: DataFrame, zooms: list[int]) -> Da
     return at.join(keys, ["z", "tx", "ty"])
 
 
-def lines_of_tiles(lines: DataFrame, tiles: DataFrame, *, mapbits: int = 48, deepest: int | None = None) -> DataFrame:
+def lines_of_tiles(lines: DataFrame, tiles: DataFrame, *, mapbits: int = 48, deepest: int | None = None, zooms: list[int] | None = None) -> DataFrame:
     """(tile, line) pairs that meet: two equi-joins on the prefix, then the
     exact test.
 
@@ -31,7 +67,8 @@ def lines_of_tiles(lines: DataFrame, tiles: DataFrame, *, mapbits: int = 48, dee
     ``deepest`` leaves out lines whose enclosing tile is so many zooms below
     that they would be less than a pixel.
     """
-    zooms = [r["z"] for r in tiles.select("z").distinct().collect()]  # a few zooms
+    if zooms is None:
+        zooms = [r["z"] for r in tiles.select("z").distinct().collect()]  # a few zooms
     first = F.col("verts")[0]
     own = tiles.select("z", "x", "y")
     below = lines.where(F.col("level") > min(zooms, default=0)).withColumn("z", F.explode(F.array(*(F.lit(z) for z in zooms))))
@@ -52,7 +89,16 @@ def lines_of_tiles(lines: DataFrame, tiles: DataFrame, *, mapbits: int = 48, dee
 
 
 def sampled(ranked: DataFrame, step: int) -> DataFrame:
-    """Every step-th point in key order; powers of two use the stored lod."""
+    """Every step-th point in key order; powers of two use the stored lod,
+    and the folders of its tiers where the points have them."""
     if step > 1 and step & (step - 1) == 0:
-        return ranked.where(F.col("lod") >= step.bit_length() - 1)
+        lod = step.bit_length() - 1
+        kept = ranked.where(F.col("lod") >= lod)
+        return kept.where(F.col("tier") >= min(lod - lod % 2, TOP_TIER)) if "tier" in ranked.columns else kept
     return ranked.where(F.col("rank") % step == 0)
+
+
+def without_nested(tiles: list[Tile]) -> list[Tile]:
+    """Tiles that lie in no other one of the list."""
+    every = set(tiles)
+    return sorted(t for t in every if not any((t[0] - k, t[1] >> k, t[2] >> k) in every for k in range(1, t[0] + 1)))

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import morton, style
-from tessera.operators import dataset, encoders, raster, shapes
+from tessera.operators import dataset, encoders, raster, shapes, tiles
 from tessera.sources import text
 from tessera.sources.tree import write_tree
 
@@ -51,6 +51,43 @@ def test_dataset_round_trip_merge_and_errors(spark, tmp_path):
         dataset.write_dataset(a, f"file://{tmp_path}/c", mapbits=8)
 
 
+def test_stored_ranks(spark, tmp_path):
+    """Ranks number the points in key order, whatever the ranges."""
+    rng = np.random.default_rng(4)
+    rows = [([(int(x) << 8, int(y) << 8)], int(m)) for x, y, m in zip(rng.integers(0, 1 << 6, 3000), rng.integers(0, 1 << 24, 3000), rng.integers(0, 5, 3000), strict=True)]
+    rows += [([(512, 512)], 1)] * 2000
+    frame = spark.createDataFrame(rows, "verts array<struct<x:bigint,y:bigint>>, meta bigint").repartition(3)
+    dataset.write_dataset(frame, f"file://{tmp_path}/r", mapbits=48, metabits=8)
+    points = dataset.Dataset(spark, f"file://{tmp_path}/r").points.orderBy("rank").collect()
+    assert [p["rank"] for p in points] == list(range(5000))
+    keys = [(p["qkey"], p["meta"]) for p in points]
+    assert keys == sorted(keys)
+    for p in points:
+        lod = 63 if p["rank"] == 0 else (p["rank"] & -p["rank"]).bit_length() - 1
+        assert (p["lod"], p["tier"]) == (lod, min(12, lod - lod % 2))
+    assert tiles.sampled(dataset.Dataset(spark, f"file://{tmp_path}/r").points, 8).count() == 625
+
+
+def test_requests_read_key_ranges(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    spots = [(int(x), int(y)) for x, y in rng.integers(0, 1 << 32, (2000, 2))]
+    lines_ = [([(x, y), (min(x + int(d), (1 << 32) - 1), y)], 0) for (x, y), d in zip(spots, 2 ** rng.integers(1, 31, 2000), strict=True)]
+    frame = spark.createDataFrame([([s], 0) for s in spots] + lines_, "verts array<struct<x:bigint,y:bigint>>, meta bigint")
+    dataset.write_dataset(frame, f"file://{tmp_path}/q", mapbits=64)
+    ds = dataset.Dataset(spark, f"file://{tmp_path}/q")
+    asked = [(4, 3, 5), (4, 9, 9)]
+    near = tiles.points_near(ds.points, asked)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(qkey" in plan
+    assert near.count() == sum(any(x >> 28 == t[1] and y >> 28 == t[2] for t in asked) for x, y in spots)
+    listed = spark.createDataFrame(asked, "z int, x long, y long")
+    whole = tiles.lines_of_tiles(ds.lines, listed, mapbits=64).select("x", "y", "verts")
+    part = tiles.lines_of_tiles(tiles.lines_near(ds.lines, asked), listed, mapbits=64, zooms=[4]).select("x", "y", "verts")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, part.collect())) and part.count() > 5
+    assert tiles.without_nested([(1, 0, 0), (3, 1, 2), (3, 7, 7), (3, 7, 7)]) == [(1, 0, 0), (3, 7, 7)]
+    assert morton.merged_ranges([(0, 3), (4, 7), (20, 21), (10, 12)], 2) == [(0, 12), (20, 21)]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 24), st.data())
 def test_tile_range_is_prefix(z, data):
