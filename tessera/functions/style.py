@@ -82,6 +82,16 @@ def point_look(s: Style, z: int, y: int | None = None) -> PointLook:
     return PointLook(step, brush * (s.tilesize / 256) ** 2, bright)
 
 
+def by_meta(value: Column, meta: Column, scaled: bool) -> Column:
+    """Brightness or dot area, times the meta value where the style says so."""
+    return value * meta if scaled else value
+
+
+def drawn_metas(rows, s: Style):
+    """Rows whose meta value is not above the style's largest."""
+    return rows if s.max_meta is None else rows.where(F.col("meta") <= s.max_meta)
+
+
 def line_look(s: Style, z: int) -> tuple[float, float]:
     """(brightness, drawn thickness) of lines at zoom ``z``."""
     bright, thick = s.dot_bright * 6.64 / s.line_thick, s.line_thick

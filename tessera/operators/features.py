@@ -18,7 +18,14 @@ def point_features(dots: DataFrame) -> DataFrame:
 
 
 def line_features(segs: DataFrame, size: int) -> DataFrame:
-    """Segments in tile units; layers are dealt when a tile is encoded."""
+    """Segments (z, x, y, meta, x0 ... y1) in tile units; layers are dealt when
+    a tile is encoded."""
     unit = lambda c: F.floor(F.col(c) * EXTENT / size).cast("long").alias(f"v{c}")
-    rows = segs.select("z", "x", "y", (F.col("user_id") % 4).alias("meta"), F.lit("line").alias("kind"), F.lit(0).cast("long").alias("feature"), unit("x0"), unit("y0"), unit("x1"), unit("y1"))
+    rows = segs.select("z", "x", "y", "meta", F.lit("line").alias("kind"), F.lit(0).cast("long").alias("feature"), unit("x0"), unit("y0"), unit("x1"), unit("y1"))
     return rows.where("vx0 <> vx1 OR vy0 <> vy1")
+
+
+def as_rows(points: DataFrame) -> DataFrame:
+    """Point features in the form of lines without length, for one table."""
+    place = {f"v{c}{k}": F.col(f"v{c}") for c in "xy" for k in (0, 1)}
+    return points.withColumns(place).select("z", "x", "y", "meta", F.lit("point").alias("kind"), "feature", "vx0", "vy0", "vx1", "vy1")

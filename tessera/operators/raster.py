@@ -10,6 +10,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +64,37 @@ def draw_brush(dots: DataFrame, tilesize: int, bright: Column, brush: float, gau
     size set by the zoom alone, so no join is needed."""
     cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in kernel(brush, gaussian)))
     rows = dots.withColumn("_k", F.explode(cells))
-    x, y = F.col("fx") * tilesize - 0.5 + F.col("_k.i"), F.col("fy") * tilesize - 0.5 + F.col("_k.j")
-    return splat(rows, x, y, bright * F.col("_k.w")).drop("_k")
+    return _stamped(rows, tilesize, bright)
 
 
-def with_neighbours(dots: DataFrame, tilesize: int, reach: float, z: int) -> DataFrame:
+def _stamped(rows: DataFrame, tilesize: int, bright: Column) -> DataFrame:
+    """Light of dots with one kernel cell ``_k`` each; cells off the canvas go
+    before they become pixels."""
+    rows = rows.withColumns({f"_{c}": F.col(f"f{c}") * tilesize - 0.5 + F.col(f"_k.{k}") for c, k in (("x", "i"), ("y", "j"))})
+    rows = rows.where(F.col("_x").between(-1, tilesize) & F.col("_y").between(-1, tilesize)).withColumn("b", bright * F.col("_k.w"))
+    return splat(rows.drop("_k"), F.col("_x"), F.col("_y"), F.col("b")).drop("_x", "_y")
+
+
+_CELLS = "meta long, cells array<struct<i: int, j: int, w: double>>"
+
+
+def draw_brush_by_meta(dots: DataFrame, tilesize: int, bright: Column, brush: float, gaussian: bool = False) -> DataFrame:
+    """Dots of an area of ``brush`` pixels times their meta; a meta of 0 draws
+    nothing.  Kernels are made once per distinct meta and joined."""
+
+    def kernels(batches):
+        for b in batches:
+            rows = [(int(m), [{"i": i, "j": j, "w": w} for i, j, w in kernel(m * brush, gaussian)]) for m in b["meta"]]
+            yield pd.DataFrame(rows, columns=["meta", "cells"])
+
+    known = dots.select("meta").where("meta > 0").distinct().mapInPandas(kernels, _CELLS)
+    rows = dots.join(known, "meta").withColumn("_k", F.explode("cells")).drop("cells")
+    return _stamped(rows, tilesize, bright)
+
+
+def with_neighbours(dots: DataFrame, tilesize: int, reach: float | Column, z: int) -> DataFrame:
     """Dots (z, x, y, fx, fy) for every tile their footprint of ``reach``
-    pixels touches, with fractions of that tile."""
+    pixels (of the row, if a column) touches, with fractions of that tile."""
     r = reach / tilesize
     lo = lambda c: F.floor(c - r).cast("int")
     hi = lambda c: F.floor(c + r).cast("int")
@@ -81,26 +106,31 @@ def with_neighbours(dots: DataFrame, tilesize: int, reach: float, z: int) -> Dat
 
 def clipped(segs: DataFrame, low: float, high: float) -> DataFrame:
     """Segments x0, y0, x1, y1 cut to the square [low, high]; those outside go."""
-    lo, hi, inside = F.lit(0.0), F.lit(1.0), F.lit(True)
+    lo, hi, inside = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
     for a, b in (("x0", "x1"), ("y0", "y1")):
-        d = F.col(b) - F.col(a)
-        t0, t1 = F.try_divide(low - F.col(a), d), F.try_divide(high - F.col(a), d)
-        lo = F.when(d == 0, lo).otherwise(F.greatest(lo, F.least(t0, t1)))
-        hi = F.when(d == 0, hi).otherwise(F.least(hi, F.greatest(t0, t1)))
-        inside = inside & ((d != 0) | F.col(a).between(low, high))
-    rows = segs.withColumns({"_lo": lo, "_hi": hi, "_in": inside}).where("_in AND _lo <= _hi")
+        d = F.nullif(F.col(b) - F.col(a), F.lit(0.0))
+        t0, t1 = (low - F.col(a)) / d, (high - F.col(a)) / d
+        # Bounds of a flat axis are null, which least and greatest pass over.
+        lo.append(F.least(t0, t1))
+        hi.append(F.greatest(t0, t1))
+        inside = inside & ((F.col(a) != F.col(b)) | F.col(a).between(low, high))
+    rows = segs.where(inside).withColumns({"_lo": F.greatest(*lo), "_hi": F.least(*hi)}).where("_lo <= _hi")
     cut = {f"{c}{k}": F.col(f"{c}0") + F.col(t) * (F.col(f"{c}1") - F.col(f"{c}0")) for c in "xy" for k, t in ((0, "_lo"), (1, "_hi"))}
-    return rows.withColumns(cut).drop("_lo", "_hi", "_in")
+    return rows.withColumns(cut).drop("_lo", "_hi")
 
 
 def draw_lines(segs: DataFrame, bright: Column) -> DataFrame:
     """Antialiased lines: each step along the longer axis lights two pixels
     across it, by how much of the step is covered."""
     steep = F.abs(F.col("y1") - F.col("y0")) > F.abs(F.col("x1") - F.col("x0"))
-    pick = lambda a, b: F.when(steep, F.col(a)).otherwise(F.col(b))
-    rows = segs.withColumns({"_s": steep, "_a": pick("y0", "x0"), "_c": pick("x0", "y0"), "_b": pick("y1", "x1"), "_d": pick("x1", "y1"), "b": bright})
-    back = F.col("_a") > F.col("_b")
-    rows = rows.withColumns({"_a": F.when(back, F.col("_b")).otherwise(F.col("_a")), "_b": F.when(back, F.col("_a")).otherwise(F.col("_b")), "_c": F.when(back, F.col("_d")).otherwise(F.col("_c")), "_d": F.when(back, F.col("_c")).otherwise(F.col("_d"))}).where("_b > _a")
+    ends = lambda *names: F.struct(*(F.col(n).alias(a) for n, a in zip(names, "acbd", strict=True)))
+    along = F.when(steep, ends("y0", "x0", "y1", "x1")).otherwise(ends("x0", "y0", "x1", "y1"))
+    # An array of one is a fence: what follows refers to values, not to the
+    # expressions behind them.
+    rows = segs.select(*(c for c in segs.columns if c not in ("x0", "y0", "x1", "y1", "b")), steep.alias("_s"), bright.alias("b"), F.explode(F.array(along)).alias("_e"))
+    back = F.col("_e.a") > F.col("_e.b")
+    pick = lambda a, b: F.when(back, F.col(f"_e.{a}")).otherwise(F.col(f"_e.{b}"))
+    rows = rows.withColumns({"_a": pick("b", "a"), "_b": pick("a", "b"), "_c": pick("d", "c"), "_d": pick("c", "d")}).drop("_e").where("_b > _a")
     rows = rows.withColumn("_i", F.explode(F.sequence(F.floor("_a").cast("long"), F.floor("_b").cast("long"))))
     start, end = F.greatest("_a", F.col("_i").cast("double")), F.least("_b", (F.col("_i") + 1).cast("double"))
     across = F.col("_c") + ((start + end) / 2 - F.col("_a")) * (F.col("_d") - F.col("_c")) / (F.col("_b") - F.col("_a"))
@@ -158,17 +188,44 @@ def draw_plain_lines(segs: DataFrame, thick: float = 1.0) -> DataFrame:
     return rows.select(*kept, px.alias("px"), py.alias("py"))
 
 
-def scatter(dots: DataFrame, tilesize: int, radius: float, bright: float, step: float = 1.0) -> DataFrame:
-    """``meta`` points per record, uniform in a circle of ``radius`` tiles
-    around it; places come from a hash of the record, so runs agree."""
+_P = (1 << 31) - 1
+
+
+def draw(world_x: Column, world_y: Column, n: Column, salt: int) -> Column:
+    """A number from 0 to 1 that place, number and salt fix: three squarings
+    modulo a prime, in whole numbers that any engine computes alike."""
+    h = (world_x * 48271 + world_y * 40692 + n * 69621 + salt) % _P
+    for c in (12345, 6789, 24036583):
+        h = (h * h + c) % _P
+    return h / float(_P)
+
+
+def scattered(dots: DataFrame, radius: float, step: int, z: int) -> DataFrame:
+    """Of every dot as many as its ``meta`` over ``step``, uniform in a circle
+    of ``radius`` tiles around it.  Places and the rounding follow from the
+    dot's world place and ``rank`` (where it has one), so that neighbouring
+    tiles agree and the remainders of dots in a row add up to whole ones."""
+    size = float(2 ** (32 - z))
+    rows = dots.withColumns({f"_w{c}": F.round((F.col(c) + F.col(f"f{c}")) * size).cast("long") for c in "xy"})
+    # Steps of the golden section fall evenly into the unit interval.
+    carry = F.col("rank") * 40503 % 65536 / 65536.0 if "rank" in dots.columns else draw(F.col("_wx"), F.col("_wy"), F.lit(0), 1)
+    count = F.floor(F.col("meta") / step + (carry if step > 1 else 0.0)).cast("int")
+    rows = rows.withColumn("_count", count).where("_count >= 1").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    own = F.col("_n") + (F.col("rank") * 8191 if "rank" in dots.columns else F.lit(0))
+    rows = rows.withColumns({"_r": F.sqrt(draw(F.col("_wx"), F.col("_wy"), own, 2)) * radius, "_a": 2 * math.pi * draw(F.col("_wx"), F.col("_wy"), own, 3)})
+    return rows.withColumns({"fx": F.col("fx") + F.col("_r") * F.cos("_a"), "fy": F.col("fy") + F.col("_r") * F.sin("_a")}).drop("_wx", "_wy", "_count", "_n", "_r", "_a")
+
+
+def scatter(dots: DataFrame, tilesize: int, radius: float, bright: float, z: int, step: int = 1, brush: float = 1.0, gaussian: bool = False) -> DataFrame:
+    """Light of scattered dots; circles below half a pixel are one dot of
+    their whole light."""
     if radius * tilesize < 0.5:
-        return draw_points(dots, tilesize, bright * F.col("meta") / step)
-    count = F.floor(F.col("meta") / step).cast("int")
-    rows = dots.where(count >= 1).withColumn("_n", F.explode(F.sequence(F.lit(1), count)))
-    u = lambda salt: F.pmod(F.xxhash64("x", "y", "fx", "fy", "_n", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    r, a = F.sqrt(u("r")) * radius, 2 * math.pi * u("a")
-    rows = rows.withColumns({"fx": F.col("fx") + r * F.cos(a), "fy": F.col("fy") + r * F.sin(a)}).drop("_n")
-    return draw_points(rows, tilesize, F.lit(bright))
+        rows, light = dots.where("meta > 0"), bright * F.col("meta") / step
+    else:
+        rows, light = scattered(dots, radius, step, z), F.lit(bright)
+    if brush <= 1:
+        return draw_points(rows, tilesize, light * brush)
+    return draw_brush(rows, tilesize, light, brush, gaussian)
 
 
 def on_canvas(points: DataFrame, z: int, low: tuple[float, float], tilesize: int) -> DataFrame:
@@ -188,3 +245,13 @@ def pixel_places(pixels: DataFrame, z: int, tilesize: int, offset: tuple[int, in
     wy = F.col("y") * size + (F.col("py") - offset[1]) * size / tilesize
     lat, lon = unproject(wx, wy)
     return pixels.withColumns({"lat": lat, "lon": lon})
+
+
+def world_places(pixels: DataFrame, tilesize: int) -> tuple[Column, Column]:
+    """Latitude and longitude of rows z, x, y, px, py of any zoom; places
+    within a tile are cut to whole world units."""
+    from tessera.functions.mercator import unproject
+
+    size = F.pow(F.lit(2.0), 32 - F.col("z"))
+    wx, wy = (F.col(c) * size + (F.col(f"p{c}") / tilesize * size).cast("long") for c in "xy")
+    return unproject(wx, wy)

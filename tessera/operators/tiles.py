@@ -27,6 +27,8 @@ def around(tiles: list[Tile], spread: int) -> list[Tile]:
 def points_near(points: DataFrame, tiles: list[Tile], spread: int = 0) -> DataFrame:
     """Points whose key lies in the ranges of these tiles (a few ranges that
     may cover a little more): what a request reads of the stored points."""
+    while spread > 2 and min(t[0] for t in tiles) > 0:  # ancestors serve as well
+        tiles, spread = sorted({(z - 1, x >> 1, y >> 1) for z, x, y in tiles}), -(-spread // 2)
     if any(z <= 0 for z, _, _ in tiles):
         return points
     ranges = morton.merged_ranges([morton.tile_range(*t) for t in around(tiles, spread)])

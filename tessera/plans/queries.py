@@ -605,7 +605,7 @@ def mvt_point_features(spark, sf_dir):
 @query()
 def circle_scatter(spark, sf_dir):
     dots = city_dots(spark, sf_dir)
-    acc = raster.accumulate(raster.scatter(dots, SIZE, style.cloud_size(3000, CITY_Z, 791), BRIGHT), TILE_KEYS, SIZE)
+    acc = raster.accumulate(raster.scatter(dots, SIZE, style.cloud_size(3000, CITY_Z, 791), BRIGHT, CITY_Z), TILE_KEYS, SIZE)
     return _rounded(acc)
 
 
@@ -621,7 +621,8 @@ def _vector(spark, sf_dir) -> DataFrame:
 
     dots = point_features(city_dots(spark, sf_dir).withColumn("meta", F.col("meta") % 4))
     points = dots.select(*TILE_KEYS, "meta", F.lit("point").alias("kind"), "feature", F.col("vx").alias("vx0"), F.col("vy").alias("vy0"), F.col("vx").alias("vx1"), F.col("vy").alias("vy1"))
-    lines = line_features(raster.clipped(_segments_px(spark, sf_dir), -1.0, SIZE + 1.0), SIZE)
+    segs = _segments_px(spark, sf_dir).withColumn("meta", F.col("user_id") % 4)
+    lines = line_features(raster.clipped(segs, -1.0, SIZE + 1.0), SIZE)
     return points.unionByName(lines.select(points.columns))
 
 

@@ -9,6 +9,8 @@ from tessera.functions.mercator import MAX_LAT, unproject
 
 _NUMBER = r"[+-]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][+-]?\\d+)?"
 _POINT = rf"^{_NUMBER},{_NUMBER}$"
+#: A meta beyond 64 bits counts as the nearest number that fits.
+_SATURATED = "IF(split(t, ':')[1] LIKE '-%', -9223372036854775807L - 1L, 9223372036854775807L)"
 _META = r"^(?:\\d+)?:-?\\d+$"
 
 
@@ -18,7 +20,8 @@ def parse_shapes(lines: DataFrame, metabits: int = 0, *, line_col: str = "value"
     Tokens are separated by spaces: points ``lat,lon``, metas ``:value`` or
     ``bits:value``; the first other token ends the line, so comments are
     ignored.  Several metas are packed in order, the most significant first,
-    and the first ``metabits`` bits of them are kept.  Lines without a point
+    and the first ``metabits`` bits of them are kept; ``overflow`` tells values
+    that do not fit (those beyond 64 bits count as the nearest that do).  Lines without a point
     are dropped.  Everything happens within a row; nothing is shuffled.
     """
     tokens = F.expr(f"filter(split({line_col}, ' +'), t -> t <> '')")
@@ -26,7 +29,7 @@ def parse_shapes(lines: DataFrame, metabits: int = 0, *, line_col: str = "value"
     stop = F.expr(f"array_position(transform(_tokens, t -> NOT (t RLIKE '{_POINT}' OR t RLIKE '{_META}')), true)")
     rows = rows.withColumn("_tokens", F.when(stop == 0, F.col("_tokens")).otherwise(F.slice("_tokens", F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))))
     points = F.expr("transform(filter(_tokens, t -> t LIKE '%,%'), t -> named_struct('lat', CAST(split(t, ',')[0] AS double), 'lon', CAST(split(t, ',')[1] AS double)))")
-    metas = F.expr(f"transform(filter(_tokens, t -> t NOT LIKE '%,%'), t -> named_struct('bits', coalesce(try_cast(nullif(split(t, ':')[0], '') AS int), {metabits}), 'v', CAST(split(t, ':')[1] AS bigint)))")
+    metas = F.expr(f"transform(filter(_tokens, t -> t NOT LIKE '%,%'), t -> named_struct('bits', coalesce(try_cast(nullif(split(t, ':')[0], '') AS int), {metabits}), 'v', coalesce(try_cast(split(t, ':')[1] AS bigint), {_SATURATED}), 'wide', try_cast(split(t, ':')[1] AS bigint) IS NULL))")
     rows = rows.withColumn("verts", points).withColumn("_metas", metas).where(F.size("verts") > 0)
     # Bits are packed until metabits are full; a shorter total is left-aligned.
     take = f"least(m.bits, {metabits} - acc.used)"
@@ -34,7 +37,7 @@ def parse_shapes(lines: DataFrame, metabits: int = 0, *, line_col: str = "value"
     packed = f"aggregate(_metas, named_struct('v', 0L, 'used', 0), (acc, m) -> IF(acc.used >= {metabits}, acc, named_struct('v', shiftleft(acc.v, {take}) | shiftrightunsigned({low}, m.bits - {take}), 'used', acc.used + {take})), acc -> shiftleft(acc.v, {metabits} - acc.used))"
     meta = F.expr(packed) if metabits else F.lit(0).cast("long")
     limit = (1 << metabits) - 1 if metabits < 63 else (1 << 63) - 1
-    overflow = F.expr(f"exists(_metas, m -> m.v > {limit}L)")
+    overflow = F.expr(f"exists(_metas, m -> m.wide OR m.v > {limit}L)")
     return rows.withColumns({"n": F.size("verts"), "meta": meta, "overflow": overflow}).drop("_tokens", "_metas")
 
 
