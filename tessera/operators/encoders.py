@@ -34,6 +34,17 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
+def read_png(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 4) of an image that ``png`` wrote."""
+    at, parts = 8, {}
+    while at < len(data):
+        n = struct.unpack(">I", data[at : at + 4])[0]
+        parts[data[at + 4 : at + 8]] = data[at + 8 : at + 8 + n]
+        at += 12 + n
+    width, height = struct.unpack(">II", parts[b"IHDR"][:8])
+    return np.frombuffer(zlib.decompress(parts[b"IDAT"]), "u1").reshape(height, 1 + 4 * width)[:, 1:].reshape(height, width, 4)
+
+
 def png_tiles(pixels: DataFrame, size: int, background: tuple[int, int, int, int]) -> DataFrame:
     """(z, x, y, image) from pixels z, x, y, px, py, r, g, b, a."""
 
@@ -100,6 +111,64 @@ def vector_tile(lines: list[tuple[int, list[tuple[int, int, int]]]], points: lis
     return zlib.compress(tile)
 
 
+def _fields(data: bytes) -> list[tuple[int, int | bytes]]:
+    """(number, value) of a message: whole numbers and byte strings."""
+    at, out = 0, []
+
+    def number() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b, at = data[at], at + 1
+            n |= (b & 127) << shift
+            if b < 128:
+                return n
+            shift += 7
+
+    while at < len(data):
+        head = number()
+        if head & 7:
+            size = number()
+            out.append((head >> 3, data[at : at + size]))
+            at += size
+        else:
+            out.append((head >> 3, number()))
+    return out
+
+
+def _numbers(data: bytes) -> list[int]:
+    out, n, shift = [], 0, 0
+    for b in data:
+        n |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            out.append(n)
+            n = shift = 0
+    return out
+
+
+def read_vector_tile(data: bytes) -> dict[str, list[tuple[int, list[tuple[int, int, int]]]]]:
+    """Layer -> (meta, commands with places) of each feature."""
+    out = {}
+    for _, body in _fields(zlib.decompress(data)):
+        fields = _fields(body)
+        values = [_fields(v)[0][1] for n, v in fields if n == LAYER_VALUE]
+        name = next(v for n, v in fields if n == LAYER_NAME).decode()
+        out[name] = []
+        for _, feature in (f for f in fields if f[0] == LAYER_FEATURE):
+            own = dict(_fields(feature))
+            commands, x, y, path = [], 0, 0, iter(_numbers(own[FEATURE_GEOMETRY]))
+            for head in path:
+                for _ in range(head >> 3):
+                    if head & 7 != CLOSE_PATH:
+                        dx, dy = ((v >> 1) ^ -(v & 1) for v in (next(path), next(path)))
+                        x, y = x + dx, y + dy
+                    commands.append((head & 7, x, y))
+            meta = values[_numbers(own[FEATURE_TAGS])[1]]
+            out[name].append((meta - (1 << 64) if meta >> 63 else meta, commands))
+    return out
+
+
 def point_commands(points: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Each point is a move and a line of one unit."""
     return [c for x, y in points for c in ((MOVE_TO, x, y), (LINE_TO, x + 1, y))]

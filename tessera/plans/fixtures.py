@@ -5,10 +5,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import mercator, morton
+from tessera.operators.dataset import Dataset, write_dataset
 
 LAT, LON = "(l_orderkey*7919 + l_partkey*104729 + l_linenumber*31)", "(l_suppkey*15485863 + l_partkey*32452843 + l_orderkey*49979687)"
 PLACES = {"pts": ("1600001 as double)/10000.0 - 80.0", "3590001 as double)/10000.0 - 179.5"), "city": ("4001 as double)/40000.0 + 37.70", "4001 as double)/40000.0 - 122.52")}
@@ -53,6 +58,39 @@ def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(track_points(spark, sf_dir), "user_id", "ts", "event_id")
 
 
+_STORES: dict[tuple, Dataset] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, rows: Callable[[], DataFrame]) -> Dataset:
+    """Shapes written as a data set below the shared folder, once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir, kind)
+    if at not in _STORES:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='tessera_')}"
+        path = f"{base}/tessera/{kind}-{uuid.uuid4().hex}"
+        write_dataset(rows(), path, metabits=8)
+        _STORES[at] = Dataset(spark, path)
+    return _STORES[at]
+
+
+def city_points(spark: SparkSession, sf_dir: str) -> Dataset:
+    vert = F.array(F.struct("x", "y"))
+    return stored(spark, sf_dir, "points", lambda: points(spark, sf_dir, "city").select(vert.alias("verts"), "meta"))
+
+
+def city_lines(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Every track segment as a line of two vertices."""
+
+    def rows() -> DataFrame:
+        vert = lambda k: F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+        return track_segments(spark, sf_dir).select(F.array(vert(0), vert(1)).alias("verts"), (F.col("user_id") % 7).alias("meta"))
+
+    return stored(spark, sf_dir, "lines", rows)
+
+
 def _world(lat: str, lon: str) -> str:
     phi = f"(({lat})*pi()/180)"
     return f"cast(trunc(4294967296.0::double*((({lon})+180)/360)) as bigint) as x, cast(trunc(4294967296.0::double*(1 - ln(tan{phi} + 1/cos{phi})/pi())/2) as bigint) as y"

@@ -6,13 +6,17 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import mercator, morton, style
 from tessera.functions.style import Style
-from tessera.operators import dataset, pyramid, raster, shapes, tiles
+from tessera.operators import dataset, encoders, pyramid, raster, shapes, tiles
+from tessera.operators.features import as_rows, line_features, point_features
 from tessera.plans import fixtures as fx
+from tessera.plans import render
 from tessera.plans.fixtures import with_
 from tessera.sources import text
 
@@ -77,16 +81,19 @@ def parse_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.parse_shapes(text_lines(spark, sf_dir), 8).select("l_orderkey", "l_linenumber", F.col("n").cast("int").alias("n"), F.round(last["lat"], 4).alias("lat"), F.round(last["lon"], 4).alias("lon"), "meta")
 
 
-_BAD = "case when l_linenumber % 3 = 0 then 7.0 else 0.0 end"
+_MOVED = "l_orderkey, l_linenumber, cast(l_quantity as bigint) q, {a} % 1600001 - 800000 + case when l_linenumber % 3 = 0 then 70000 else 0 end a, ({b} % 3590001 - 1795000) * case when l_linenumber % 5 = 0 then 2 else 1 end b".format(a=fx.LAT, b=fx.LON)
 
 
-@query(f"""{with_('pts')} select orderkey, linenumber, (lat + 7*cast(linenumber % 3 = 0 as int)) between -85.0511 and 85.0511 and lon * (1 + cast(linenumber % 5 = 0 as int)) > -180 and lon * (1 + cast(linenumber % 5 = 0 as int)) < 180 as valid, meta > 31 as overflow, meta % 32 as kept from pts""")
+@query(f"select l_orderkey, l_linenumber, a between -850511 and 850511 and b between -1799999 and 1799999 as valid, q > 31 as overflow, q % 32 as kept from (select {_MOVED} from lineitem)")
 def validate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.points(spark, sf_dir)
-    lat = F.col("lat") + 7 * (F.col("linenumber") % 3 == 0).cast("int")
-    lon = F.col("lon") * (1 + (F.col("linenumber") % 5 == 0).cast("int"))
-    verts = p.withColumn("verts", F.array(F.struct(lat.alias("lat"), lon.alias("lon")), F.struct(F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))))
-    return verts.select("orderkey", "linenumber", text.valid_shapes().alias("valid"), (F.col("meta") > 31).alias("overflow"), F.col("meta").bitwiseAND(F.lit(31)).alias("kept"))
+    """Lines of two points, the first of which may be out of range, and metas
+    that may not fit into five bits."""
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_MOVED_COLUMNS)
+    lines = rows.selectExpr("l_orderkey", "l_linenumber", f"concat({_decimal('a')}, ',', {_decimal('b')}, ' 0,0 :', q) as value")
+    return text.parse_shapes(lines, 5).select("l_orderkey", "l_linenumber", text.valid_shapes().alias("valid"), "overflow", F.col("meta").alias("kept"))
+
+
+_MOVED_COLUMNS = ["cast(l_quantity as bigint) q", f"{fx.LAT} % 1600001 - 800000 + case when l_linenumber % 3 = 0 then 70000 else 0 end a", f"({fx.LON} % 3590001 - 1795000) * case when l_linenumber % 5 = 0 then 2 else 1 end b"]
 
 
 # ---- scalar functions ------------------------------------------------------
@@ -149,10 +156,12 @@ def record_bytes(spark, sf_dir):
     return t.withColumn("bytes", shapes.record_bytes(F.col("legs"), F.col("level"), 48, 8))
 
 
-@query(f"{with_('tp', 'seg')[:-1]}, {_PAIRS} select 2 as legs, cast(level as int) as level, count(*) as records, 2 as maxn from pr group by level")
+@query(f"{with_('tp', 'seg')[:-1]}, {_LEVELS} select cast(legs as int) as legs, cast(level as int) as level, count(*) as records, max(max(legs)) over () as maxn from lv group by legs, level")
 def partition_inventory(spark, sf_dir):
-    rows = shapes.keyed(_pair_shapes(spark, sf_dir), 48, 8)
-    return dataset.inventory(rows).withColumn("maxn", F.lit(2))
+    """Records of each (legs, level) of stored tracks, and the largest legs
+    that the data set's properties tell."""
+    ds = fx.stored(spark, sf_dir, "tracks", lambda: fx.tracks(spark, sf_dir).select("verts", "meta"))
+    return dataset.inventory(ds.shapes).withColumn("maxn", F.lit(ds.maxn).cast("long"))
 
 
 # ---- index, union ------------------------------------------------------------
@@ -246,11 +255,10 @@ def tile_points(spark, sf_dir):
     return rows.where("meta <= 30").select("orderkey", "linenumber", "meta")
 
 
-@query(f"{with_('pts')} select cast(t.z as int) as z, t.x as tx, t.y as ty, orderkey, linenumber from pts p join (select distinct r.z as z, q.x // cast(pow(2, 32 - r.z) as bigint) as x, q.y // cast(pow(2, 32 - r.z) as bigint) as y from pts q, (values (5), (7)) r(z) where q.orderkey % 50 = 1 and q.linenumber = 1) t on p.x // cast(pow(2, 32 - t.z) as bigint) = t.x and p.y // cast(pow(2, 32 - t.z) as bigint) = t.y")
+@query(f"{with_('pts')} select cast(t.z as int) as z, t.x as tx, t.y as ty, orderkey, linenumber from pts p join (select distinct r.z as z, q.x // cast(pow(2, 32 - r.z) as bigint) as x, q.y // cast(pow(2, 32 - r.z) as bigint) as y from pts q, (values (5), (7)) r(z)) t on p.x // cast(pow(2, 32 - t.z) as bigint) = t.x and p.y // cast(pow(2, 32 - t.z) as bigint) = t.y")
 def points_of_tiles(spark, sf_dir):
     p = fx.points(spark, sf_dir)
-    few = p.where("orderkey % 50 = 1 AND linenumber = 1").withColumn("z", F.explode(F.array(F.lit(5), F.lit(7))))
-    listed = few.select("z", mercator.tile_of(F.col("x"), F.col("z")).alias("x"), mercator.tile_of(F.col("y"), F.col("z")).alias("y")).distinct()
+    listed = pyramid.pyramid(p, 7, 5).where("z <> 6").select("z", "x", "y")
     return tiles.points_of_tiles(p, listed, [5, 7]).select("z", "tx", "ty", "orderkey", "linenumber")
 
 
@@ -275,7 +283,7 @@ def tile_lines(spark, sf_dir):
 
 @query(f"{with_('city')} select orderkey, linenumber, meta from city where meta <= 25")
 def meta_filter(spark, sf_dir):
-    return fx.points(spark, sf_dir, "city").where("meta <= 25").select("orderkey", "linenumber", "meta")
+    return style.drawn_metas(fx.points(spark, sf_dir, "city"), Style(max_meta=25)).select("orderkey", "linenumber", "meta")
 
 
 # ---- dumps --------------------------------------------------------------------
@@ -329,7 +337,7 @@ def line_brightness(spark, sf_dir):
 
 @query(f"{with_('city')} select orderkey, linenumber, meta * 0.05917::double as bright, meta * 2.0::double as brush from city")
 def meta_scaling(spark, sf_dir):
-    return fx.points(spark, sf_dir, "city").select("orderkey", "linenumber", (F.col("meta") * 0.05917).alias("bright"), (F.col("meta") * 2.0).alias("brush"))
+    return fx.points(spark, sf_dir, "city").select("orderkey", "linenumber", style.by_meta(F.lit(0.05917), F.col("meta"), True).alias("bright"), style.by_meta(F.lit(2.0), F.col("meta"), True).alias("brush"))
 
 
 _LEAST = "(1600 * pow(1.5, 16 - 12))"
@@ -424,7 +432,13 @@ def splat_points(spark, sf_dir):
 
 
 def _kernel_sql(brush: float, gaussian: bool = False) -> str:
-    return f"(values {', '.join(f'({i}, {j}, {w!r}::double)' for i, j, w in raster.kernel(brush, gaussian))}) k(ki, kj, kw)"
+    """The disk in SQL: cells of a ninth of a pixel, column by column, summed
+    up per pixel; weights add up to the brush."""
+    weight = "exp(-(((c - mid) * (c - mid) + (r - mid) * (r - mid)) / (radius * radius)) / (2.0::double / 9))" if gaussian else "1.0::double"
+    base = f"select 9 * sqrt({brush!r}::double / pi()) as radius, cast(ceil(sqrt({brush!r}::double / pi())) as bigint) as w"
+    columns = f"select radius, w, (2 * w + 1) * 9 // 2 as mid, unnest(range((2 * w + 1) * 9 // 2 - cast(floor(radius) as bigint), (2 * w + 1) * 9 // 2 + cast(floor(radius) as bigint) + 1)) as c from ({base})"
+    cells = f"select *, unnest(range(mid - half, mid + half + 1)) as r from (select *, cast(floor(abs(sin(acos((c - mid) / radius))) * radius) as bigint) as half from ({columns}))"
+    return f"(select ki, kj, {brush!r}::double * v / sum(v) over () as kw from (select c // 9 - w as ki, r // 9 - w as kj, sum({weight}) as v from ({cells}) group by 1, 2)) k"
 
 
 @query(f"{with_('city')[:-1]}, {_dots_sql()}, kd as (select dots.*, ki, kj, kw from dots, {_kernel_sql(4.0)}), {_splat_sql('kd', 'fx*256 - 0.5 + ki', 'fy*256 - 0.5 + kj', '0.05917 * kw', _KEYS)} {_ACC_OUT}")
@@ -476,7 +490,8 @@ def aa_lines(spark, sf_dir):
     return _line_image(raster.draw_lines(raster.clipped(_segments_px(spark, sf_dir), -2.0, 257.0), F.lit(0.4)))
 
 
-_OFFSETS = ", ".join(f"({o!r}::double, {s!r}::double)" for o, s in raster.offsets(3.5))
+#: A line of 3.5 pixels: three whole parallels and a quarter at each edge.
+_OFFSETS = "(0.0::double, 1.0::double), (1.0, 1.0), (-1.0, 1.0), (1.25, 0.25), (-1.25, 0.25)"
 _THICK = f"th as (select z, x, y, x0 - (y1-y0)/ln*o as x0, y0 + (x1-x0)/ln*o as y0, x1 - (y1-y0)/ln*o as x1, y1 + (x1-x0)/ln*o as y1, 0.4*s as bb from (select *, sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0)) as ln from cl), (values {_OFFSETS}) t(o, s) where ln > 0)"
 
 
@@ -594,47 +609,229 @@ def pixel_coordinates(spark, sf_dir):
 
 @query(f"{with_('city')[:-1]}, {_dots_sql()} select z, x, y, meta, cx, cy, row_number() over (partition by z, x, y, meta, cx, cy order by vx, vy) - 1 as feature, vx, vy from (select z, x, y, meta % 4 as meta, cast(floor(fx*256) as bigint) as cx, cast(floor(fy*256) as bigint) as cy, cast(trunc(fx*4096) as bigint) as vx, cast(trunc(fy*4096) as bigint) as vy from dots)")
 def mvt_point_features(spark, sf_dir):
-    from tessera.operators.features import point_features
-
     return point_features(city_dots(spark, sf_dir).withColumn("meta", F.col("meta") % 4))
 
 
-# ---- without SQL: rows only, or tested with their own models -----------------
+_P = (1 << 31) - 1
+
+
+def _draw_sql(wx: str, wy: str, n: str, salt: int) -> str:
+    """The hashed number of a dot, as three nested squarings."""
+    h = f"(({wx}) * 48271 + ({wy}) * 40692 + ({n}) * 69621 + {salt}) % {_P}"
+    for c in (12345, 6789, 24036583):
+        h = f"list_reduce([{h}, 0], lambda v, unused: (v * v + {c}) % {_P})"
+    return f"(({h}) / {_P}.0::double)"
+
+
+def _scatter_sql(source: str, count: str, own: str, radius: str) -> str:
+    """Rows of ``source`` (fx, fy, wx, wy, meta, hue), scattered."""
+    r, a = _draw_sql("wx", "wy", own, 2), _draw_sql("wx", "wy", own, 3)
+    return f"sc as (select * exclude (fx, fy, rr, aa), fx + sqrt(rr) * {radius} * cos(2 * pi() * aa) as fx, fy + sqrt(rr) * {radius} * sin(2 * pi() * aa) as fy from (select *, {r} as rr, {a} as aa from (select *, unnest(range(1, {count} + 1)) as n from {source})))"
+
+
+_FEET = "(3000 * 0.00000274 / cos(atan(sinh(pi() * (1 - 2 * (791 + 0.5) / 2048)))) / (360 / 2048.0::double))"
 
 
-@query()
+@query(f"{with_('city')[:-1]}, {_dots_sql()}, pl as (select dots.*, x*2097152 + cast(fx*2097152 as bigint) as wx, y*2097152 + cast(fy*2097152 as bigint) as wy from dots), {_scatter_sql('pl', 'meta', 'n', _FEET)}, {_splat_sql('sc', 'fx*256 - 0.5', 'fy*256 - 0.5', '0.05917', _KEYS)} {_ACC_OUT}")
 def circle_scatter(spark, sf_dir):
     dots = city_dots(spark, sf_dir)
     acc = raster.accumulate(raster.scatter(dots, SIZE, style.cloud_size(3000, CITY_Z, 791), BRIGHT, CITY_Z), TILE_KEYS, SIZE)
     return _rounded(acc)
 
 
-@query()
+def _points_sql(z: int, keep: str, bright: str, size: int = SIZE) -> str:
+    """Pixels of the stored points that ``keep`` chooses, at a zoom."""
+    s = 2 ** (32 - z)
+    return f"{with_('city', 'cut')[:-1]}, {_RANKED}, dots as (select {z} as z, x//{s} as x, y//{s} as y, (x % {s})/{s}.0::double as fx, (y % {s})/{s}.0::double as fy, -1.0::double as hue from rk where {keep}), {_splat_sql('dots', 'fx*256 - 0.5', 'fy*256 - 0.5', bright, _KEYS)}"
+
+
+def _request(spark, sf_dir, listed, s: Style = Style(), *, lines: bool = False) -> render.Request:  # noqa: B008
+    ds = fx.city_lines(spark, sf_dir) if lines else fx.city_points(spark, sf_dir)
+    return render.Request((ds,), tuple(listed), s)
+
+
+@query(f"{with_('city', 'cut')[:-1]}, {_RANKED} select qkey, meta, x, y, rank, cast(case when rank = 0 then 63 else length(regexp_extract(bin(rank), '0*$')) end as int) as lod, 1 as legs, 0 as level from rk")
+def encode_store(spark, sf_dir):
+    """Shapes written, opened and read back with their ranks."""
+    ds = fx.city_points(spark, sf_dir)
+    first = F.col("verts")[0]
+    return ds.stored.select("qkey", "meta", first["x"].alias("x"), first["y"].alias("y"), "rank", "lod", "legs", "level")
+
+
+_MERGED = "select x // 256 * 256 as x, y // 256 * 256 as y, meta from (select x, y, meta % 3 as meta from city where linenumber <= 4 {u} select x, y, meta % 3 from city where linenumber >= 3)"
+
+
+def _merged(spark, sf_dir, unique: bool) -> DataFrame:
+    vert = F.array(F.struct("x", "y")).alias("verts")
+    halves = [fx.stored(spark, sf_dir, f"half{k}", lambda w=w: fx.points(spark, sf_dir, "city").where(w).select(vert, F.expr("meta % 3").alias("meta"))) for k, w in enumerate(("linenumber <= 4", "linenumber >= 3"))]
+    first = F.col("verts")[0]
+    return dataset.merged(halves, unique=unique).select(first["x"].alias("x"), first["y"].alias("y"), "meta")
+
+
+@query(f"{with_('city')} {_MERGED.format(u='union all')}")
+def merge_stored(spark, sf_dir):
+    return _merged(spark, sf_dir, False)
+
+
+@query(f"{with_('city')} select distinct * from ({_MERGED.format(u='union all')})")
+def merge_stored_unique(spark, sf_dir):
+    return _merged(spark, sf_dir, True)
+
+
+@query(f"{_points_sql(CITY_Z, f'rank % 4 = 0 and (x//2097152, y//2097152) in ((327, 791), (327, 792))', '0.05917 * pow(1.23, -2)')} {_ACC_OUT}")
+def render_tile_points(spark, sf_dir):
+    """Two tiles, of which a zoom shows every fourth point."""
+    return _rounded(render.pixels(spark, _request(spark, sf_dir, CITY_TILES)))
+
+
+_SNAP = f"{with_('city', 'cut')[:-1]}, dots as (select 13 as z, x//524288 as x, y//524288 as y, (floor((x % 524288)/524288.0::double*256) + 0.5)/256 as fx, (floor((y % 524288)/524288.0::double*256) + 0.5)/256 as fy, -1.0::double as hue from cut where meta <= 30 and x//524288 = 1309 and y//524288 = 3166), {_splat_sql('dots', 'fx*256 - 0.5', 'fy*256 - 0.5', '0.05917', _KEYS)}"
+
+
+@query(f"{_SNAP} {_ACC_OUT}")
+def render_snapped(spark, sf_dir):
+    """Without antialiasing, and only points of a meta up to 30."""
+    return _rounded(render.pixels(spark, _request(spark, sf_dir, [(13, 1309, 3166)], Style(antialias=False, max_meta=30))))
+
+
+@query(f"{with_('city', 'cut')[:-1]}, dots as (select 14 as z, 2618 as x, 6333 as y, x/262144.0::double - 2618 as fx, y/262144.0::double - 6333 as fy, -1.0::double as hue from cut where x//262144 between 2617 and 2619 and y//262144 between 6332 and 6334), kd as (select dots.*, ki, kj, kw from dots, {_kernel_sql(2.0)}), {_splat_sql('kd', 'fx*256 - 0.5 + ki', 'fy*256 - 0.5 + kj', '0.05917 * 1.23 * kw', _KEYS)} {_ACC_OUT}")
+def render_overzoom(spark, sf_dir):
+    """Dots larger than a pixel, also of the tiles around."""
+    return _rounded(render.pixels(spark, _request(spark, sf_dir, [(14, 2618, 6333)])))
+
+
+@query(f"{with_('city', 'cut')[:-1]}, dots as (select 13 as z, 1309 as x, 3166 as y, meta, x/524288.0::double - 1309 as fx, y/524288.0::double - 3166 as fy, -1.0::double as hue from cut where x//524288 between 1308 and 1310 and y//524288 between 3165 and 3167), kd as (" + " union all ".join(f"select dots.*, ki, kj, kw from dots, {_kernel_sql(float(m))} where meta = {m}" for m in range(1, 51)) + f"), {_splat_sql('kd', 'fx*256 - 0.5 + ki', 'fy*256 - 0.5 + kj', '0.05917 * kw', _KEYS)} {_ACC_OUT}")
+def render_by_meta(spark, sf_dir):
+    """Dots whose area is their meta value."""
+    return _rounded(render.pixels(spark, _request(spark, sf_dir, [(13, 1309, 3166)], Style(scale="radius"))))
+
+
+_Z_LINES = "sg as (select user_id, seq, x0//256*256 as x0, y0//256*256 as y0, x1//256*256 as x1, y1//256*256 as y1 from seg), lv as (select *, case when x0 = x1 and y0 = y1 then 24 else least(24, 32 - length(bin(xor(x0, x1) | xor(y0, y1)))) end as level from sg)"
+_LINE_PX = f"sp as (select user_id, 12 as z, 654 as x, 1583 as y, (x0 - 654*1048576)/1048576.0::double*256 as x0, (y0 - 1583*1048576)/1048576.0::double*256 as y0, (x1 - 654*1048576)/1048576.0::double*256 as x1, (y1 - 1583*1048576)/1048576.0::double*256 as y1 from lv where level <= 20 and {_meets('x0/1048576.0 - 654', 'y0/1048576.0 - 1583', 'x1/1048576.0 - 654', 'y1/1048576.0 - 1583')})"
+
+
+@query(f"{with_('tp', 'seg')[:-1]}, {_Z_LINES}, {_LINE_PX}, {_clip_sql('sp', -2.0, 257.0)}, {_wu_sql('cl', '0.05917 * 6.64 / 1.23')} select z, x, y, px, py, round(image, 6) + 0.0 as image from acc")
+def render_tile_lines(spark, sf_dir):
+    acc = render.pixels(spark, _request(spark, sf_dir, [(12, 654, 1583)], lines=True))
+    return acc.select(*TILE_KEYS, "px", "py", r6("image").alias("image"))
+
+
+_SET_STEP = "cast(pow(2, 13 - z) as bigint)"
+_SET_SIZE = "cast(pow(2, 32 - z) as bigint)"
+
+
+@query(f"{with_('city', 'cut')[:-1]}, {_RANKED}, dots as (select cast(z as int) as z, x // {_SET_SIZE} as x, y // {_SET_SIZE} as y, (x % {_SET_SIZE})/{_SET_SIZE}::double as fx, (y % {_SET_SIZE})/{_SET_SIZE}::double as fy, 0.05917 * pow(1.23, z - 13) as lb, -1.0::double as hue from rk, range(9, 14) r(z) where rank % {_SET_STEP} = 0), {_splat_sql('dots', 'fx*256 - 0.5', 'fy*256 - 0.5', 'lb', _KEYS)} {_ACC_OUT}")
+def render_tileset(spark, sf_dir):
+    """All tiles of zooms 9 to 13, listed by the pyramid."""
+    ds = fx.city_points(spark, sf_dir)
+    listed = [tuple(r) for r in pyramid.pyramid(ds.points, 13, 9).select("z", "x", "y").collect()]  # the request
+    return _rounded(render.pixels(spark, _request(spark, sf_dir, listed)))
+
+
+@query(f"{with_('city', 'cut')[:-1]}, {_RANKED}, pl as (select {CITY_Z} as z, 327 as x, 791 as y, meta, rank, x as wx, y as wy, x/2097152.0::double - 327 as fx, y/2097152.0::double - 791 as fy, -1.0::double as hue from rk where x//2097152 between 326 and 328 and y//2097152 between 790 and 792), {_scatter_sql('pl', 'cast(floor(meta / 4.0::double + rank * 40503 % 65536 / 65536.0::double) as bigint)', 'n + rank * 8191', _FEET)}, {_splat_sql('sc', 'fx*256 - 0.5', 'fy*256 - 0.5', '0.05917 * pow(1.23, -2)', _KEYS)} {_ACC_OUT}")
+def render_scatter(spark, sf_dir):
+    """Every fourth of the scattered dots, remainders carried from point to
+    point, circles of the tiles around included."""
+    return _rounded(render.pixels(spark, _request(spark, sf_dir, [(CITY_Z, 327, 791)], Style(circle_feet=3000))))
+
+
+_IN_DUMP = f"({_meets('x0/2097152.0 - 327', 'y0/2097152.0 - 791', 'x1/2097152.0 - 327', 'y1/2097152.0 - 791')} or {_meets('x0/4194304.0 - 164', 'y0/4194304.0 - 395', 'x1/4194304.0 - 164', 'y1/4194304.0 - 395')})"
+
+
+@query(f"{with_('tp', 'seg')[:-1]}, {_Z_LINES} select concat(printf('%.6f,%.6f ', {lat_sql('y0')}, {lon_sql('x0')}), printf('%.6f,%.6f ', {lat_sql('y1')}, {lon_sql('x1')}), '8:', user_id % 7, ' // ', printf('%08x %08x %08x %08x ', x0, y0, x1, y1)) as value from lv where {_IN_DUMP}")
+def render_dump(spark, sf_dir):
+    """Lines of three tiles, one inside another, each record once."""
+    return render.dump(spark, _request(spark, sf_dir, [(CITY_Z, 327, 791), (12, 654, 1583), (10, 164, 395)], lines=True))
+
+
+@query(f"{with_('city', 'cut')[:-1]}, {_RANKED} select printf('%.6f,%.6f', {lat_sql('wy')}, {lon_sql('wx')}) as value from (select 327*2097152 + cast(trunc(((x - 327*2097152)/2097152.0::double*256 - 0.5)/256*2097152.0::double) as bigint) as wx, 791*2097152 + cast(trunc(((y - 791*2097152)/2097152.0::double*256 - 0.5)/256*2097152.0::double) as bigint) as wy from rk where rank % 4 = 0 and x//2097152 = 327 and y//2097152 = 791)")
+def render_pixel_text(spark, sf_dir):
+    return render.pixel_text(spark, _request(spark, sf_dir, [(CITY_Z, 327, 791)]))
+
+
+_ENUM = f"e as (select cast(r.z as int) as z, lv.x0 // cast(pow(2, 32 - r.z) as bigint) as x, lv.y0 // cast(pow(2, 32 - r.z) as bigint) as y, count(*) as count, cast(sum(lv.x0) // count(*) as bigint) as sx, cast(sum(lv.y0) // count(*) as bigint) as sy, sum(case when {_DIST} < 400000 then {_DIST} else 0 end) / pow(2.0, 32 - r.z) as len from lv, range(13) r(z) group by r.z, 2, 3)"
+
+
+@query(f"{with_('tp', 'seg')[:-1]}, {_Z_LINES}, {_ENUM}, p as (select distinct z, x // 2 as px, y // 2 as py from e where z > 0), c as (select z, 2*px + dx as x, 2*py + dy as y from p, range(2) a(dx), range(2) b(dy) except select z, x, y from e) select z, x, y, count, round({lat_sql('sy')}, 6) as lat, round({lon_sql('sx')}, 6) as lon, round(len, 6) as len from e union all select z, x, y, 0, round({lat_sql('y*pow(2.0, 32-z)')}, 6), round({lon_sql('x*pow(2.0, 32-z)')}, 6), 0.0 from c")
+def enumerate_tiles(spark, sf_dir):
+    """Counts, mean places, lengths and missing siblings of a stored set."""
+    got = pyramid.enumerated(fx.city_lines(spark, sf_dir).shapes, 12, verbose=True, distance=True, siblings=True, longest=400000.0)
+    return got.select(*TILE_KEYS, "count", *(F.round(c, 6).alias(c) for c in ("lat", "lon", "len")))
+
+
+# ---- encoded tiles, read back ---------------------------------------------------
+
+
+def _pixel_rows(images: DataFrame) -> DataFrame:
+    """Pixels of encoded images."""
+
+    def read(batches):
+        for b in batches:
+            for z, x, y, image in zip(b.z, b.x, b.y, b.image, strict=True):
+                rgba = encoders.read_png(bytes(image))
+                py, px = np.indices(rgba.shape[:2]).reshape(2, -1)
+                colours = {c: rgba[..., k].ravel().astype("i4") for k, c in enumerate("rgba")}
+                yield pd.DataFrame({"z": np.int32(z), "x": x, "y": y, "px": px, "py": py, **colours})
+
+    return images.mapInPandas(read, "z int, x long, y long, px long, py long, r int, g int, b int, a int")
+
+
+def _whole_sql(toned: str, blank: str, listed: str) -> str:
+    """All pixels of the listed tiles; those without light are blank."""
+    colours = ", ".join(f"cast(coalesce(tn.{c}, {v}) as int) as {c}" for c, v in zip("rgba", blank.split(","), strict=True))
+    return f", tn as ({toned}), ls as ({listed}) select ls.z, ls.x, ls.y, i.px, j.py, {colours} from ls cross join range(256) i(px) cross join range(256) j(py) left join tn on tn.z = ls.z and tn.x = ls.x and tn.y = ls.y and tn.px = i.px and tn.py = j.py"
+
+
+@query(f"{_RA}{_whole_sql(_tone_sql(TONE), '0,0,0,128', 'select distinct z, x, y from ra')}")
 def png_tiles(spark, sf_dir):
-    from tessera.operators.encoders import png_tiles as encode
+    """Tiles encoded as images, and the pixels read from them."""
+    return _pixel_rows(encoders.png_tiles(_toned(spark, sf_dir, TONE), SIZE, (0, 0, 0, 128)))
 
-    return encode(_toned(spark, sf_dir, TONE), SIZE, (0, 0, 0, 128))
 
+_RENDERED = f"{_points_sql(CITY_Z, f'rank % 4 = 0 and (x//2097152, y//2097152) in ((327, 791), (327, 792))', '0.05917 * pow(1.23, -2)')}, ra as (select * from acc)"
+
+
+@query(f"{_RENDERED}{_whole_sql(_tone_sql(Style()), '0,0,0,255', 'select distinct z, x, y from ra')}")
+def render_png(spark, sf_dir):
+    """Two tiles from the stored points to the pixels of their images."""
+    return _pixel_rows(render.png_tiles(spark, _request(spark, sf_dir, CITY_TILES)))
 
-def _vector(spark, sf_dir) -> DataFrame:
-    from tessera.operators.features import line_features, point_features
 
-    dots = point_features(city_dots(spark, sf_dir).withColumn("meta", F.col("meta") % 4))
-    points = dots.select(*TILE_KEYS, "meta", F.lit("point").alias("kind"), "feature", F.col("vx").alias("vx0"), F.col("vy").alias("vy0"), F.col("vx").alias("vx1"), F.col("vy").alias("vy1"))
+def _vector(spark, sf_dir) -> DataFrame:
+    points = as_rows(point_features(city_dots(spark, sf_dir).withColumn("meta", F.col("meta") % 4)))
     segs = _segments_px(spark, sf_dir).withColumn("meta", F.col("user_id") % 4)
-    lines = line_features(raster.clipped(segs, -1.0, SIZE + 1.0), SIZE)
-    return points.unionByName(lines.select(points.columns))
+    return points.unionByName(line_features(raster.clipped(segs, -1.0, SIZE + 1.0), SIZE))
 
 
-@query()
-def mvt_lines(spark, sf_dir):
-    from tessera.operators.encoders import vector_tiles
+def _features(tiles_: DataFrame) -> DataFrame:
+    """Points (with the number of their feature among those of the meta) and
+    lines (-1) of encoded vector tiles."""
 
-    return vector_tiles(_vector(spark, sf_dir).where("kind = 'line'"))
+    def read(batches):
+        for b in batches:
+            for z, x, y, tile in zip(b.z, b.x, b.y, b.tile, strict=True):
+                rows, seen = [], {}
+                for layer, features in encoders.read_vector_tile(bytes(tile)).items():
+                    for meta, commands in features:
+                        k = seen[meta] = seen.get(meta, -1) + 1 if layer == "points" else -1
+                        for (_, ax, ay), (c, bx, by) in zip(commands, commands[1:]):  # noqa: B905
+                            if c == encoders.LINE_TO:
+                                rows.append((z, x, y, "point" if k >= 0 else "line", meta, k, ax, ay, *((ax, ay) if k >= 0 else (bx, by))))
+                        seen = seen if layer == "points" else {}
+                yield pd.DataFrame(rows, columns=["z", "x", "y", "kind", "meta", "feature", "vx0", "vy0", "vx1", "vy1"])
 
+    return tiles_.mapInPandas(read, "z int, x long, y long, kind string, meta long, feature long, vx0 long, vy0 long, vx1 long, vy1 long")
+
+
+_VECTOR_LINES = f"{_SEG_PX}, {_clip_sql('sp', -1.0, 257.0)}, ln as (select z, x, y, user_id % 4 as meta, cast(floor(x0*4096/256) as bigint) as vx0, cast(floor(y0*4096/256) as bigint) as vy0, cast(floor(x1*4096/256) as bigint) as vx1, cast(floor(y1*4096/256) as bigint) as vy1 from cl)"
+_LINES_OUT = "select z, x, y, 'line' as kind, meta, cast(-1 as bigint) as feature, vx0, vy0, vx1, vy1 from ln where (vx0, vy0) <> (vx1, vy1)"
 
-@query()
-def mvt_tiles(spark, sf_dir):
-    from tessera.operators.encoders import vector_tiles
 
-    return vector_tiles(_vector(spark, sf_dir))
+@query(f"{with_('tp', 'seg')[:-1]}, {_VECTOR_LINES} {_LINES_OUT}")
+def mvt_lines(spark, sf_dir):
+    return _features(encoders.vector_tiles(_vector(spark, sf_dir).where("kind = 'line'")))
+
+
+@query(f"{with_('city', 'tp', 'seg')[:-1]}, {_dots_sql()}, {_VECTOR_LINES}, pt as (select z, x, y, meta % 4 as meta, cast(floor(fx*256) as bigint) as cx, cast(floor(fy*256) as bigint) as cy, cast(trunc(fx*4096) as bigint) as vx, cast(trunc(fy*4096) as bigint) as vy from dots) select z, x, y, 'point' as kind, meta, row_number() over (partition by z, x, y, meta, cx, cy order by vx, vy) - 1 as feature, vx as vx0, vy as vy0, vx as vx1, vy as vy1 from pt union all {_LINES_OUT}")
+def mvt_tiles(spark, sf_dir):
+    """Vector tiles of points and lines, and the features read from them."""
+    return _features(encoders.vector_tiles(_vector(spark, sf_dir)))
