@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -13,6 +14,7 @@ from tessera.functions.style import Style, ZoomRules
 from tessera.operators import dataset, pyramid, shapes
 from tessera.operators.dataset import Dataset
 from tessera.plans import render as plans
+from tessera.plans.backends import BACKENDS
 from tessera.sources import text
 from tessera.sources.tree import write_tree
 
@@ -33,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("-z", type=int, default=16)
     e.add_argument("-m", type=int, default=0)
     e.add_argument("-o", required=True)
-    e.add_argument("files", nargs="+")
+    e.add_argument("files", nargs="*", help="text files; standard input without any")
     m = sub.add_parser("merge")
     m.add_argument("-o", required=True)
     m.add_argument("-u", action="store_true")
@@ -62,9 +64,10 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("-C")
     r.add_argument("-x", action="append", default=[])
     r.add_argument("-o")
-    r.add_argument("--format", choices=("png", "pbf", "txt"), default="png")
+    r.add_argument("--format", choices=(*BACKENDS, "txt"), default="png")
+    r.add_argument("--canned", action="store_true", help="orange dots on nothing, into tiles/<name of dir>")
     r.add_argument("dir")
-    r.add_argument("place", nargs="*", type=float)
+    r.add_argument("place", nargs="*", type=float, help="z x y, or z and a box with -A; without any, lines of tiles on standard input, as enumerate prints them")
     return top
 
 
@@ -105,21 +108,14 @@ def _enumerate(spark: SparkSession, a: argparse.Namespace) -> None:
         _show(ds.ordered().select(form(F.col("verts"), F.col("meta"), ds.metabits).alias("value")))
         return
     deepest = a.z if a.z is not None else ds.mapbits // 2 - 8
-    first = F.col("verts")[0]
-    points = ds.shapes.select(first["x"].alias("x"), first["y"].alias("y"), "verts")
+    rows = ds.shapes
     if a.b:
         lat0, lon0, lat1, lon1 = map(float, a.b.split(","))
         corners = spark.range(1).select(*(c.alias(n) for n, c in zip("abcd", (*project(F.lit(lat0), F.lit(lon0)), *project(F.lit(lat1), F.lit(lon1))), strict=True))).first()
-        points = pyramid.in_bbox(points, (min(corners["a"], corners["c"]), min(corners["b"], corners["d"])), (max(corners["a"], corners["c"]), max(corners["b"], corners["d"])))
-    if a.d:
-        step = lambda i: F.sqrt(F.pow((F.col("verts")[i]["x"] - F.col("verts")[i - 1]["x"]).cast("double"), F.lit(2.0)) + F.pow((F.col("verts")[i]["y"] - F.col("verts")[i - 1]["y"]).cast("double"), F.lit(2.0)))
-        short = F.when(F.size("verts") < 2, 0.0).otherwise(F.aggregate(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("verts") - 1, F.lit(1))), lambda i: F.when(i < F.size("verts"), step(i)).otherwise(0.0)), lambda d: d < 6400), F.lit(0.0), lambda x, y: x + y))
-        tiles = pyramid.pyramid(points, deepest, a.Z, len=short).withColumn("len", F.col("len") / F.pow(F.lit(2.0), 32 - F.col("z")))
-    elif a.v:
-        tiles = pyramid.centroids(points, deepest, a.Z)
-    else:
-        tiles = pyramid.pyramid(points, deepest, a.Z)
-        tiles = pyramid.with_siblings(tiles) if a.s else tiles.drop("count")
+        first = F.col("verts")[0]
+        inside = [first[c].between(min(corners[p], corners[q]), max(corners[p], corners[q])) for c, p, q in (("x", "a", "c"), ("y", "b", "d"))]
+        rows = rows.where(inside[0] & inside[1])
+    tiles = pyramid.enumerated(rows, deepest, a.Z, verbose=a.v, distance=a.d, siblings=a.s)
     _show(pyramid.listing(tiles.orderBy("z", "x", "y"), a.dir))
 
 
@@ -131,33 +127,44 @@ def _render(spark: SparkSession, a: argparse.Namespace) -> None:
     sets = tuple(Dataset(spark, d) for d in [*a.f, a.dir])
     if a.A:
         z, lat0, lon0, lat1, lon1 = a.place
-        listed, _ = plans.tiles_of_box(int(z), (lat0, lon0), (lat1, lon1))
-    else:
+        listed, _ = plans.tiles_of_box(int(z), (lat0, lon0), (lat1, lon1), s.tilesize)
+    elif a.place:
         listed = (tuple(int(v) for v in a.place),)
+    else:
+        listed = tuple(tuple(int(v) for v in line.split()[-3:] if line.strip()) for line in sys.stdin if line.strip())
+    out = a.o
+    if a.canned:
+        s, out = plans.orange(s), out or f"tiles/{os.path.basename(a.dir.rstrip('/'))}"
     request = plans.Request(sets, listed, s)
     if a.d or a.D:
         lines = plans.dump(spark, request, geojson=a.D)
-        print(text.collection([r["value"] for r in lines.toLocalIterator()])) if a.D else _show(lines)
+        if a.D:
+            sys.stdout.writelines(text.collection(r["value"] for r in lines.toLocalIterator()))
+        else:
+            _show(lines)
     elif a.format == "txt":
         _show(plans.pixel_text(spark, request))
     elif a.A and a.format == "png":
         sys.stdout.buffer.write(plans.box_image(spark, sets, int(a.place[0]), tuple(a.place[1:3]), tuple(a.place[3:5]), s))
     else:
-        column = "image" if a.format == "png" else "tile"
-        got = plans.vector_tiles(spark, request) if a.format == "pbf" else plans.retina_tile(spark, sets, listed[0], s) if a.r else plans.png_tiles(spark, request)
-        if a.o:
-            write_tree(got, a.o if "://" in a.o else f"file://{a.o}", column=column, extension=a.format, description=a.dir)
+        backend = BACKENDS[a.format]
+        got = backend.tiles(spark, request)
+        if out:
+            write_tree(got, out if "://" in out else f"file://{os.path.abspath(out)}", column="data", extension=backend.filetype, description=a.dir)
         else:
             for r in got.toLocalIterator():
-                sys.stdout.buffer.write(bytes(r[column]))
+                sys.stdout.buffer.write(bytes(r["data"]))
 
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"tessera {a.command}").getOrCreate()
     if a.command == "encode":
-        found = text.read_text(spark, a.files, a.m)
+        copied = f"{a.o.rstrip('/')}.input"
+        found = text.read_text(spark, a.files, a.m) if a.files else text.read_stream(spark, sys.stdin.buffer, copied, a.m)
         dataset.write_dataset(shapes.projected(found.where(text.valid_shapes())), a.o, mapbits=2 * (a.z + 8), metabits=a.m)
+        if not a.files:
+            dataset.delete(spark, copied)
     elif a.command == "merge":
         dataset.merge(spark, a.o, *a.dirs, unique=a.u)
     elif a.command == "enumerate":

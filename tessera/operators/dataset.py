@@ -94,7 +94,7 @@ def write_dataset(shapes: DataFrame, path: str, *, mapbits: int = 48, metabits:
     out.select("qkey", "verts", "meta", "legs", "rank", "lod", "tier", "level").sortWithinPartitions("tier", "level", "qkey", "meta").write.mode(mode).partitionBy("tier", "level").parquet(f"{path}/shapes")
     maxn = max((r["legs"] for r in found), default=0)
     spark.createDataFrame([(VERSION, mapbits, metabits, int(maxn))], _META).coalesce(1).write.mode(mode).json(f"{path}/meta")
-    _delete(spark, staged)
+    delete(spark, staged)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -108,11 +108,20 @@ def _absent(spark: SparkSession, path: str) -> None:
         raise FileExistsError(f"{path} exists")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that all executors share."""
     fs, p = _folder(spark, path)
     fs.delete(p, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete data sets below ``path``."""
+    fs, p = _folder(spark, path)
+    found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
+    meta = lambda q: _folder(spark, f"{q.toString()}/meta/_SUCCESS")
+    return [q.getName() for q in found if (m := meta(q))[0].exists(m[1])]
+
+
 class Dataset:
     """An opened data set; a missing (legs, level) is an empty frame."""
 

@@ -161,6 +161,8 @@ def offsets(thick: float) -> list[tuple[float, float]]:
 
 def draw_thick_lines(segs: DataFrame, bright: Column, thick: float) -> DataFrame:
     """Lines of a thickness, as parallels along the normal."""
+    if thick <= 1:
+        return draw_lines(segs, bright * thick)
     pairs = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(s).alias("s")) for o, s in offsets(thick)))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     rows = segs.withColumn("_len", F.sqrt(dx * dx + dy * dy)).where("_len > 0").withColumn("_o", F.explode(pairs))
@@ -204,7 +206,7 @@ def scattered(dots: DataFrame, radius: float, step: int, z: int) -> DataFrame:
     """Of every dot as many as its ``meta`` over ``step``, uniform in a circle
     of ``radius`` tiles around it.  Places and the rounding follow from the
     dot's world place and ``rank`` (where it has one), so that neighbouring
-    tiles agree and the remainders of dots in a row add up to whole ones."""
+    tiles agree and the remainders of dots in a row even out."""
     size = float(2 ** (32 - z))
     rows = dots.withColumns({f"_w{c}": F.round((F.col(c) + F.col(f"f{c}")) * size).cast("long") for c in "xy"})
     # Steps of the golden section fall evenly into the unit interval.

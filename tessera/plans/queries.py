@@ -719,12 +719,14 @@ _SET_STEP = "cast(pow(2, 13 - z) as bigint)"
 _SET_SIZE = "cast(pow(2, 32 - z) as bigint)"
 
 
-@query(f"{with_('city', 'cut')[:-1]}, {_RANKED}, dots as (select cast(z as int) as z, x // {_SET_SIZE} as x, y // {_SET_SIZE} as y, (x % {_SET_SIZE})/{_SET_SIZE}::double as fx, (y % {_SET_SIZE})/{_SET_SIZE}::double as fy, 0.05917 * pow(1.23, z - 13) as lb, -1.0::double as hue from rk, range(9, 14) r(z) where rank % {_SET_STEP} = 0), {_splat_sql('dots', 'fx*256 - 0.5', 'fy*256 - 0.5', 'lb', _KEYS)} {_ACC_OUT}")
+@query(f"{with_('city', 'cut')[:-1]}, {_RANKED}, dots as (select cast(z as int) as z, x // {_SET_SIZE} as x, y // {_SET_SIZE} as y, (x % {_SET_SIZE})/{_SET_SIZE}::double as fx, (y % {_SET_SIZE})/{_SET_SIZE}::double as fy, 0.05917 * pow(1.23, z - 13) as lb, -1.0::double as hue from rk, range(9, 14) r(z) where rank % {_SET_STEP} = 0), {_splat_sql('dots', 'fx*256 - 0.5', 'fy*256 - 0.5', 'lb', _KEYS)} select z, x, y, px, py, round(image + 1e-9, 6) as image from acc")
 def render_tileset(spark, sf_dir):
     """All tiles of zooms 9 to 13, listed by the pyramid."""
     ds = fx.city_points(spark, sf_dir)
     listed = [tuple(r) for r in pyramid.pyramid(ds.points, 13, 9).select("z", "x", "y").collect()]  # the request
-    return _rounded(render.pixels(spark, _request(spark, sf_dir, listed)))
+    acc = render.pixels(spark, _request(spark, sf_dir, listed))
+    # Weights are multiples of a 64th, so that sums lie on ties of rounding.
+    return acc.select(*TILE_KEYS, "px", "py", F.round(F.col("image") + 1e-9, 6).alias("image"))
 
 
 @query(f"{with_('city', 'cut')[:-1]}, {_RANKED}, pl as (select {CITY_Z} as z, 327 as x, 791 as y, meta, rank, x as wx, y as wy, x/2097152.0::double - 327 as fx, y/2097152.0::double - 791 as fy, -1.0::double as hue from rk where x//2097152 between 326 and 328 and y//2097152 between 790 and 792), {_scatter_sql('pl', 'cast(floor(meta / 4.0::double + rank * 40503 % 65536 / 65536.0::double) as bigint)', 'n + rank * 8191', _FEET)}, {_splat_sql('sc', 'fx*256 - 0.5', 'fy*256 - 0.5', '0.05917 * pow(1.23, -2)', _KEYS)} {_ACC_OUT}")

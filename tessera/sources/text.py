@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,17 @@ def read_text(spark: SparkSession, paths: str | list[str], metabits: int = 0) ->
     return parse_shapes(spark.read.text(paths), metabits)
 
 
+def read_stream(spark: SparkSession, stream: BinaryIO, folder: str, metabits: int = 0) -> DataFrame:
+    """Lines of an open stream, such as standard input: copied to a file in
+    ``folder``, which the caller deletes, and read from there in parallel."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lines.txt")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    while chunk := stream.read(1 << 20):
+        out.write(bytearray(chunk))
+    out.close()
+    return read_text(spark, str(path.toString()), metabits)
+
+
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """Track points of GPX files as verts of one point, texts kept exactly."""
     rows = spark.read.format("xml").option("rowTag", "trkpt").schema("_lat string, _lon string").load(path)
@@ -93,10 +107,13 @@ def dump_geojson(verts: Column, meta: Column, metabits: int) -> Column:
 
 
 def write_geojson(features: DataFrame, path: str, *, column: str = "feature") -> None:
-    """Newline-delimited features; ``collection`` wraps a small set in one."""
+    """Newline-delimited features; ``collection`` wraps them in one."""
     features.select(F.col(column)).write.text(path)
 
 
-def collection(features: list[str]) -> str:
-    """A FeatureCollection of features already at the driver."""
-    return '{ "type": "FeatureCollection", "features": [\n' + ",\n".join(features) + "\n] }\n"
+def collection(features: Iterable[str]) -> Iterator[str]:
+    """Pieces of a FeatureCollection, feature by feature."""
+    yield '{ "type": "FeatureCollection", "features": ['
+    for k, f in enumerate(features):
+        yield (",\n" if k else "\n") + f
+    yield "\n] }\n"

@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 
-def write_tree(tiles: DataFrame, out: str, *, column: str, extension: str, description: str) -> dict:
+def write_tree(tiles: DataFrame, out: str, *, column: str, extension: str, description: str, postprocess: Callable[[bytes], bytes] | None = None) -> dict:
     """Write ``out``/z/x/y.extension from the tasks and metadata.json once.
-    Files are whole or absent: each is moved into place when complete."""
+    Files are whole or absent: each is moved into place when complete.
+    ``postprocess`` may change the bytes of each file.  The zooms told are
+    those of the whole tree, earlier runs included."""
 
     def put(rows: Iterator[Row]) -> None:
         fs, root = pafs.FileSystem.from_uri(out)
         for r in rows:
             folder = f"{root}/{r['z']}/{r['x']}"
             fs.create_dir(folder, recursive=True)
-            temporary = f"{folder}/.{r['y']}.{id(r)}.part"
+            temporary = f"{folder}/.{r['y']}.{uuid.uuid4().hex}.part"
+            data = bytes(r[column])
             with fs.open_output_stream(temporary) as f:
-                f.write(bytes(r[column]))
+                f.write(postprocess(data) if postprocess else data)
             fs.move(temporary, f"{folder}/{r['y']}.{extension}")
 
     tiles.select("z", "x", "y", column).foreachPartition(put)
-    extent = tiles.agg(F.min("z").alias("a"), F.max("z").alias("b")).first()
-    meta = metadata(out.rstrip("/").rsplit("/", 1)[-1], description, extent["a"], extent["b"], extension)
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(root, recursive=True)
+    zooms = [int(f.base_name) for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.Directory and f.base_name.isdigit()]
+    meta = metadata(out.rstrip("/").rsplit("/", 1)[-1], description, min(zooms, default=None), max(zooms, default=None), extension)
     with fs.open_output_stream(f"{root}/metadata.json") as f:
         f.write(json.dumps(meta, indent=1).encode())
     return meta

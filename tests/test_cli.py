@@ -22,10 +22,14 @@ def test_enumerate(spark, indexed, capsys):
     cli.main(["enumerate", "-z", "3", "-v", out])
     first = capsys.readouterr().out.splitlines()[0].split()
     assert first[1:5] == ["0", "0", "0", "4"]
+    cli.main(["enumerate", "-z", "2", "-s", "-v", "-d", out])
+    rows = [x.split() for x in capsys.readouterr().out.splitlines()]
+    assert sum(r[4] == "0" for r in rows) == 6 and all(len(r) == 7 for r in rows)
+    assert [r[4:] for r in rows if r[1:4] == ["1", "1", "1"]] == [["0", "0.000000,0.000000", "0.000000"]]
     cli.main(["enumerate", "-z", "2", "-s", out])
-    assert sum(x.split()[4] == "0" for x in capsys.readouterr().out.splitlines()) == 6
+    assert sorted(len(x.split()) for x in capsys.readouterr().out.splitlines()) == [4] * 9
     cli.main(["enumerate", "-z", "2", "-d", "-b", "30,-130,40,-100", out])
-    assert len(capsys.readouterr().out.splitlines()) == 3
+    assert [len(x.split()) for x in capsys.readouterr().out.splitlines()] == [5, 5, 5]
     cli.main(["enumerate", "-a", out])
     assert capsys.readouterr().out.count("//") == 4
 
@@ -53,6 +57,26 @@ def test_render(spark, indexed, capsys):
     assert (base / "vec/11/327/791.pbf").exists()
 
 
+def test_standard_input(spark, indexed, capsys, monkeypatch):
+    import io
+
+    out, base = indexed
+    lines = type("In", (io.StringIO,), {"buffer": io.BytesIO(b"37.78,-122.40 :3\n1,2\n")})()
+    monkeypatch.setattr("sys.stdin", lines)
+    cli.main(["encode", "-m", "8", "-o", f"file://{base}/piped"])
+    assert not (base / "piped.input").exists()
+    cli.main(["enumerate", "-z", "3", "-Z", "2", out])
+    listed = capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", io.StringIO(listed))
+    cli.main(["render", "-o", f"{base}/all", out])
+    assert len(list((base / "all").rglob("*.png"))) == len(listed.splitlines()) == 2
+    monkeypatch.chdir(base)
+    cli.main(["render", "--canned", out, "11", "327", "791"])
+    assert (base / "tiles/a/11/327/791.png").exists()
+    cli.main(["render", "--format", "txt", out, "11", "327", "791"])
+    assert all(x.startswith("37.7") for x in capsys.readouterr().out.splitlines())
+
+
 def test_box_without_seams(spark, indexed):
     from tessera.functions.style import Style
     from tessera.operators.dataset import Dataset

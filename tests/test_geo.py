@@ -204,22 +204,52 @@ def test_tree_and_metadata(spark, tmp_path):
     meta = write_tree(tiles, f"file://{tmp_path}/out", column="tile", extension="pbf", description="d")
     assert (tmp_path / "out/3/5/6.pbf").read_bytes() == b"b"
     assert (meta["minzoom"], meta["maxzoom"]) == (1, 3)
+    again = write_tree(tiles.where("z = 3"), f"file://{tmp_path}/out", column="tile", extension="pbf", description="d", postprocess=lambda b: b + b"!")
+    assert (again["minzoom"], again["maxzoom"]) == (1, 3) and (tmp_path / "out/3/5/6.pbf").read_bytes() == b"b!"
     assert {x["id"] for x in json.loads(json.loads((tmp_path / "out/metadata.json").read_text())["json"])["vector_layers"]} == {"points", "lines"}
 
 
+def test_meta_beyond_64_bits(spark):
+    rows = text.parse_shapes(lines(spark, "1,2 :99999999999999999999", "1,2 :-99999999999999999999", "1,2 :5"), 8).collect()
+    assert [r["overflow"] for r in rows] == [True, True, False] and rows[2]["meta"] == 5
+
+
+def test_scatter_carries_remainders(spark):
+    """100 records of meta 3 at step 4: about 75 dots."""
+    dots = spark.range(100).selectExpr("id AS rank", "3L AS meta", "11 AS z", "327L AS x", "791L AS y", "0.5D AS fx", "0.5D AS fy", "-1D AS hue")
+    assert abs(raster.scattered(dots, 0.05, 4, 11).count() - 75) <= 3
+    assert raster.scattered(dots, 0.05, 1, 11).count() == 300
+
+
+def test_dump_of_several_tiles(spark, tmp_path):
+    from tessera.plans import render
+
+    rows = [([(5 << 29, 5 << 29)], 1), ([(1 << 28, 1 << 28), (1 << 29, 1 << 28)], 2), ([(1 << 28, 1 << 28), (1 << 29, 1 << 28)], 2), ([(1 << 28, 1 << 28)], 3)]
+    dataset.write_dataset(spark.createDataFrame(rows, "verts array<struct<x:bigint,y:bigint>>, meta bigint"), f"file://{tmp_path}/d", metabits=8)
+    ds = dataset.Dataset(spark, f"file://{tmp_path}/d")
+    for asked, n in ((((0, 0, 0),), 4), (((1, 0, 0), (2, 0, 0)), 3), (((4, 1, 1), (4, 2, 1)), 3), (((1, 1, 1),), 1)):
+        assert render.dump(spark, render.Request((ds,), asked)).count() == n, asked
+
+
 def test_gpx(spark, tmp_path):
     (tmp_path / "t.gpx").write_text('<gpx><trk><trkseg><trkpt lat="42.10" lon="-1.5"/><trkpt lat="1" lon="2"><ele>3</ele></trkpt></trkseg></trk></gpx>')
     assert [r["value"] for r in text.read_gpx(spark, f"{tmp_path}/t.gpx").collect()] == ["42.10,-1.5", "1,2"]
 
 
 def test_stream_appends_once(spark, tmp_path):
-    from tessera.streaming.ingest import start
+    from tessera.streaming.ingest import batches, compact, start
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("37.5,-122.5 :3\nbad\n1,2\n")
     q = start(spark.readStream.text(f"{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", metabits=8)
     q.awaitTermination(120)
-    assert sorted(r["meta"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 3]
+    found = batches(spark, f"file://{tmp_path}/out")
+    assert sorted(r["meta"] for d in found for r in d.shapes.collect()) == [0, 3]
+    (tmp_path / "in/b.txt").write_text("3,4 5,6 :7\n1,2\n")
+    start(spark.readStream.text(f"{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", metabits=8).awaitTermination(120)
+    one = compact(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/one", unique=True)
+    assert sorted(r["meta"] for r in one.shapes.collect()) == [0, 3, 7] and one.maxn == 2
+    assert [r["rank"] for r in one.points.orderBy("rank").collect()] == [0, 1]
 
 
 def test_style_text_and_retina():
