@@ -1,19 +1,25 @@
-"""Binary tile formats: PNG and vector tiles, one task group per tile.
+"""Binary tile formats: PNG and vector tiles.
 
-A group is bounded: a tile has at most size^2 pixels, a vector tile layer at
-most ``FEATURE_POINTS`` points or lines per feature group.
+An image takes at most size^2 pixels, which pass one canvas.  A vector tile is
+one record by its format, so the task that encodes it holds all its features;
+a feature has at most ``FEATURE_POINTS`` points or lines, a further one takes
+the rest.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EXTENT, CELLS, FEATURE_POINTS = 4096, 256, 10_000
+_IMAGES = 64
 MOVE_TO, LINE_TO, CLOSE_PATH = 1, 2, 7
 #: Field numbers of the tile format.
 TILE_LAYER = 3
@@ -46,15 +52,45 @@ def read_png(data: bytes) -> np.ndarray:
 
 
 def png_tiles(pixels: DataFrame, size: int, background: tuple[int, int, int, int]) -> DataFrame:
-    """(z, x, y, image) from pixels z, x, y, px, py, r, g, b, a."""
-
-    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        canvas = np.empty((size, size, 4), "u1")
-        canvas[:] = background
-        canvas[rows["py"], rows["px"]] = rows[["r", "g", "b", "a"]].to_numpy()
-        return pd.DataFrame([(*map(int, key), png(canvas))], columns=["z", "x", "y", "image"])
-
-    return pixels.groupBy("z", "x", "y").applyInPandas(encode, "z int, x long, y long, image binary")
+    """(z, x, y, image) from pixels z, x, y, px, py, r, g, b, a.
+
+    Pixels come sorted by tile, so a task holds one canvas and one batch."""
+    blank = int.from_bytes(bytes(background), "little")
+    colour = F.col("r").cast("long") + F.col("g") * (1 << 8) + F.col("b") * (1 << 16) + F.col("a").cast("long") * (1 << 24)
+    rows = pixels.select("z", "x", "y", (F.col("py") * size + F.col("px")).cast("int").alias("at"), colour.alias("colour"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, canvas = None, np.empty(size * size, "<u4")
+        done: list[tuple] = []
+
+        def finished() -> tuple:
+            return (*key, png(canvas.view("u1").reshape(size, size, 4)))
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["z", "x", "y", "image"])
+            done.clear()
+            return out
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z, x, y, at, light = (c.to_numpy() for c in b.columns)
+            change = np.flatnonzero((np.diff(z) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            for i, j in zip([0, *change], [*change, len(z)], strict=True):
+                own = (int(z[i]), int(x[i]), int(y[i]))
+                if own != key:
+                    if key is not None:
+                        done.append(finished())
+                        if len(done) >= _IMAGES:
+                            yield flush()
+                    key = own
+                    canvas[:] = blank
+                canvas[at[i:j]] = light[i:j]
+        if key is not None:
+            done.append(finished())
+            yield flush()
+
+    return rows.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y").mapInArrow(encode, "z int, x long, y long, image binary")
 
 
 def varint(n: int) -> bytes:
