@@ -80,7 +80,8 @@ class TextCnn:
             r = e @ f[0] + b
             for k in range(1, w):
                 r[:-k] += e[k:] @ f[k]
-            r[len(r) - w + 1 :] = b
+            # Windows start at words only, never in the gap to the next text.
+            r[flat[:, 0] == _PAD] = b
             out.append(r)
         return np.concatenate(out, 1)
 
@@ -175,6 +176,8 @@ def _gradients(net: TextCnn, ids: list[np.ndarray], y: np.ndarray, weight: np.nd
     for i, (w, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
         own = slice(i * FILTERS, (i + 1) * FILTERS)
         d, at = dh[:, own], where[:, own]
+        biases.append((slice(None), d.sum(0)))
+        d = d * (flat[at, 0] != _PAD)
         g = np.zeros_like(f)
         for k in range(w):
             words = flat[np.minimum(at + k, len(flat) - 1)]
@@ -183,7 +186,6 @@ def _gradients(net: TextCnn, ids: list[np.ndarray], y: np.ndarray, weight: np.nd
             rows += [words[..., c].ravel() for c in range(3)]
             table += [change] * 3
         filters.append((slice(None), g))
-        biases.append((slice(None), d.sum(0)))
     order = np.argsort(every := np.concatenate(rows), kind="stable")
     unique, first = np.unique(every[order], return_index=True)
     sums = np.add.reduceat(np.concatenate(table)[order], first)
