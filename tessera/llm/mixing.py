@@ -38,7 +38,10 @@ from tessera.llm.toxicity import BUCKETS, word_ids
 
 TRAIN_ROWS = 8_000
 EPOCHS, BATCH, RATE = 8, 64, 0.05
-RIDGE, PASSES, CLOSE = 0.002, 40, 1e-3
+#: Weight of staying near 1; the fit ends when every total is within MISS of
+#: its target, or when the errors of three passes differ by less than STILL
+#: (targets that no rates meet), after PASSES at the latest.
+RIDGE, PASSES, MISS, STILL = 1e-4, 120, 0.01, 1e-4
 
 
 @dataclass
@@ -137,33 +140,36 @@ def fit_rates(placed: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.nda
     """Errors of each pass, which fix every document's rate, and the expected
     share of tokens per domain in the end.  ``placed`` is a written table of
     n_tokens and posterior; ``target`` are shares of all its tokens."""
-    spark, errors = placed.sparkSession, np.zeros((0, len(target)))
+    errors = np.zeros((0, len(target)))
     slim = placed.select("n_tokens", "posterior").where("n_tokens > 0")
 
-    def totals(history: np.ndarray, momentum: bool) -> np.ndarray:
+    def totals(history: np.ndarray) -> np.ndarray:
+        """Shares of tokens at the next point of evaluation and at the rates."""
+
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(len(target) + 1)
+            out = np.zeros(2 * len(target) + 1)
             for b in batches:
                 if b.num_rows:
                     n = b.column(0).to_numpy().astype("f8")
                     p = b.column(1).values.to_numpy().reshape(b.num_rows, -1)
-                    r = _replayed(p, history)[0 if momentum else 1]
-                    out[:-1] += (n * r) @ p
+                    out[:-1] += np.concatenate([(n * r) @ p for r in _replayed(p, history)])
                     out[-1] += n.sum()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["k", "v"])
 
         got = slim.mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        v = np.zeros(len(target) + 1)
-        for r in got:  # K + 1 numbers
+        v = np.zeros(2 * len(target) + 1)
+        for r in got:  # 2 K + 1 numbers
             v[r["k"]] = r["v"]
-        return v[:-1] / v[-1] if v[-1] else target
-
-    for _ in range(PASSES):
-        e = totals(errors, momentum=True) - target
-        errors = np.vstack([errors, e])
-        if np.abs(e).max() < CLOSE and len(errors) > 2:
-            break
-    return errors, totals(errors, momentum=False)
+        return (v[:-1] / v[-1] if v[-1] else np.tile(target, 2)).reshape(2, -1)
+
+    still = 0
+    while True:
+        ahead, now = totals(errors)
+        met = bool((np.abs(now - target) <= MISS * np.maximum(target, 1e-3)).all())
+        if met or still >= 3 or len(errors) >= PASSES:
+            return errors, now
+        still = still + 1 if len(errors) and np.abs(ahead - target - errors[-1]).max() < STILL else 0
+        errors = np.vstack([errors, ahead - target])
 
 
 def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, budget: float = 1.0, train_rows: int = TRAIN_ROWS) -> DataFrame:
