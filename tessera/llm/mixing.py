@@ -41,7 +41,9 @@ EPOCHS, BATCH, RATE = 8, 64, 0.05
 #: Weight of staying near 1; the fit ends when every total is within MISS of
 #: its target, or when the errors of three passes differ by less than STILL
 #: (targets that no rates meet), after PASSES at the latest.
-RIDGE, PASSES, MISS, STILL = 1e-4, 120, 0.01, 1e-4
+RIDGE, PASSES, MISS, STILL = 1e-4, 400, 0.01, 2e-5
+#: Passes after which the rates are written down, and documents of one task.
+REPLAYED, TASK_ROWS = 25, 200_000
 
 
 @dataclass
@@ -123,11 +125,11 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, train_rows: int = TRAIN_
     return rows.mapInArrow(score, schema), domains
 
 
-def _replayed(p: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _replayed(p: np.ndarray, errors: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the steps with these errors: where the next pass evaluates
     (with momentum), and the rates themselves."""
     rate = 1 / (1 + RIDGE)
-    r = y = np.ones(len(p))
+    y, r = start or (np.ones(len(p)), np.ones(len(p)))
     root = np.sqrt(RIDGE / (1 + RIDGE))
     momentum = (1 - root) / (1 + root)
     for e in errors:
@@ -136,12 +138,20 @@ def _replayed(p: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return y, r
 
 
-def fit_rates(placed: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _state(b: pa.RecordBatch, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors and both rates of a batch of written states."""
+    p = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+    return p, *_replayed(p, errors, (b.column(2).to_numpy(), b.column(3).to_numpy()))
+
+
+def fit_rates(scratch: Scratch, placed: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Errors of each pass, which fix every document's rate, and the expected
     share of tokens per domain in the end.  ``placed`` is a written table of
     n_tokens and posterior; ``target`` are shares of all its tokens."""
-    errors = np.zeros((0, len(target)))
-    slim = placed.select("n_tokens", "posterior").where("n_tokens > 0")
+    errors, written = np.zeros((0, len(target))), 0
+    slim = placed.where("n_tokens > 0").select("n_tokens", "posterior", F.lit(1.0).alias("ahead"), F.lit(1.0).alias("now"))
+    # A few numbers per document are read in every pass: few tasks do.
+    slim = scratch.save(slim.coalesce(max(1, -(-slim.count() // TASK_ROWS))), "rates0")
 
     def totals(history: np.ndarray) -> np.ndarray:
         """Shares of tokens at the next point of evaluation and at the rates."""
@@ -151,8 +161,8 @@ def fit_rates(placed: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.nda
             for b in batches:
                 if b.num_rows:
                     n = b.column(0).to_numpy().astype("f8")
-                    p = b.column(1).values.to_numpy().reshape(b.num_rows, -1)
-                    out[:-1] += np.concatenate([(n * r) @ p for r in _replayed(p, history)])
+                    p, ahead, now = _state(b, history)
+                    out[:-1] += np.concatenate([(n * r) @ p for r in (ahead, now)])
                     out[-1] += n.sum()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["k", "v"])
 
@@ -162,14 +172,25 @@ def fit_rates(placed: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.nda
             v[r["k"]] = r["v"]
         return (v[:-1] / v[-1] if v[-1] else np.tile(target, 2)).reshape(2, -1)
 
+    def step(history: np.ndarray) -> DataFrame:
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, _state(b, history)[1:])], b.schema.names)
+
+        return slim.mapInArrow(move, slim.schema)
+
     still = 0
     while True:
-        ahead, now = totals(errors)
+        ahead, now = totals(errors[written:])
         met = bool((np.abs(now - target) <= MISS * np.maximum(target, 1e-3)).all())
         if met or still >= 3 or len(errors) >= PASSES:
             return errors, now
         still = still + 1 if len(errors) and np.abs(ahead - target - errors[-1]).max() < STILL else 0
         errors = np.vstack([errors, ahead - target])
+        if len(errors) - written >= REPLAYED:
+            slim, old, written = scratch.save(step(errors[written:]), f"rates{len(errors)}"), f"rates{written}", len(errors)
+            scratch.drop(old)
 
 
 def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, budget: float = 1.0, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -181,7 +202,7 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     if not domains or weight.sum() == 0:
         return placed.withColumns({"posterior": F.create_map().cast("map<string,double>"), "rate": F.lit(1.0)})
-    errors, _ = fit_rates(placed, weight / weight.sum() * budget)
+    errors, _ = fit_rates(scratch, placed, weight / weight.sum() * budget)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
