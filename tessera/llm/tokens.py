@@ -27,7 +27,9 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _BATCH_WORDS = 200_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"!-&(-/:-@\[-`{-~"
-_OTHER = re.compile(rf"[^{_LETTER}0-9{_MARK} \n]|  | \n|\n |\n\n\n|\n\n\Z| \Z")
+#: Latin-1 bytes of the letters, digits, marks, spaces and line ends above.
+_PLAIN = bytes(c for c in range(256) if re.fullmatch(rf"[{_LETTER}0-9{_MARK} \n]", chr(c)))
+_RUNS = (b"  ", b" \n", b"\n ", b"\n\n\n")
 _PRETOKEN = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
 
 
@@ -39,6 +41,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _is_plain(text: str) -> bool:
+    """Whether a text is one that ``_PRETOKEN`` cuts as the library does."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not (data.translate(None, _PLAIN) or any(x in data for x in _RUNS) or data.endswith((b"\n\n", b" ")))
+
+
 def _splits_as_here(tokenizer) -> bool:
     """Whether the vocabulary's texts are cut by the byte-level rule alone: no
     normalizer, no space put in front, the library's own pattern, plain merges."""
@@ -72,7 +83,7 @@ class Encoder:
         self._letters = _byte_letters()
         self._byte_level = _splits_as_here(self._tokenizer)
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
-        self._added = re.compile("|".join(map(re.escape, added))) if added else None
+        self._added = added
         self._kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _merged(self, pieces: set[str]) -> dict[str, bytes]:
@@ -93,7 +104,7 @@ class Encoder:
         return {p: array(self._code, x.ids).tobytes() for p, x in zip(order, got, strict=True)}
 
     def _is_whole(self, text: str) -> bool:
-        return not self._byte_level or (self._added is not None and self._added.search(text) is not None)
+        return not self._byte_level or any(a in text for a in self._added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of each text (``self.dtype``); an empty text has none."""
@@ -104,7 +115,7 @@ class Encoder:
             if self._is_whole(text):
                 out[i] = self._whole({text})[text]
                 continue
-            k = int(_OTHER.search(text) is not None)
+            k = int(not _is_plain(text))
             pieces = _SAFE.split(text) if k else _PRETOKEN.findall(text)
             waiting[k].append((i, pieces))
             words[k] += len(pieces)
