@@ -48,7 +48,7 @@ SKETCH = 1 << 23
 #: lengths of lists (an estimate; it never changes results).
 MOST_LIGHT, PRICED_SETS = 32, 50_000
 #: Sets and shingles of a component that one block holds at most.
-BLOCK_SETS, BLOCK_SHINGLES = 1_000, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 250, 1_000_000
 _BLOOM = 1 << 24
 _P = np.uint64(0x9E3779B97F4A7C15)
 
