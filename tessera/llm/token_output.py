@@ -207,6 +207,7 @@ def _documents(row: dict, digest: bool) -> Iterator[pa.RecordBatch]:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """Write the files to the shared folder and return the manifest."""
+    """Write the files to the shared folder and return the manifest, a row per
+    shard in one file."""
     scratch = Scratch(spark, "tokens")
-    return scratch.save(write_token_shards(docs, f"{scratch.path}/files", **options), "manifest")
+    return scratch.save(write_token_shards(docs, f"{scratch.path}/files", **options).repartition(1), "manifest")
