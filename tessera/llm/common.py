@@ -109,6 +109,14 @@ def crc_mod(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def sampled(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """``chosen`` (doc_id and a label, of bounded size) with ``columns`` of the
+    documents of these ids.  Of rows that share an id the least stands for all,
+    so that what is gathered is bounded however often an id repeats."""
+    found = docs.select("doc_id", F.struct(*columns).alias("_row")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy(*chosen.columns).agg(F.min("_row").alias("_row")).select(*chosen.columns, "_row.*")
+
+
 def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
     """Rows of a list column of numbers as arrays, without Python objects."""
     out: list[np.ndarray] = []

@@ -19,7 +19,8 @@ documented bound); posteriors, totals and rates cover all documents.
 Defined cases: null and empty texts have no tokens and the classifier's prior
 as posterior; without labelled rows there are no domains and every rate is 1;
 targets of domains without a labelled row go to the others in proportion;
-rows that share a doc_id are separate; extra columns pass through.
+rows that share a doc_id are separate, and the least of their texts trains;
+extra columns pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, lists_of, tune
+from tessera.llm.common import Scratch, lists_of, sampled, tune
 from tessera.llm.toxicity import BUCKETS, word_ids
 
 TRAIN_ROWS = 8_000
@@ -107,8 +108,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, train_rows: int = TRAIN_
             ids = [np.unique(word_ids(t or "")).astype("i4") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("domain"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "domain", "ids"])
 
-    # At most ``train_rows`` short rows travel; the texts stay where they are.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text").mapInArrow(hashed, "doc_id long, domain string, ids array<int>").toArrow().sort_by("doc_id")
+    # At most ``train_rows`` short rows travel, and the texts of these ids.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = sampled(texts, chosen, "text").mapInArrow(hashed, "doc_id long, domain string, ids array<int>").toArrow().sort_by("doc_id")
     domains = sorted(set(sample.column("domain").to_pylist()))
     y = np.array([domains.index(x) for x in sample.column("domain").to_pylist()], np.int64)
     ids = lists_of(sample.column("ids"))

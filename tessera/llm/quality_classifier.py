@@ -11,10 +11,10 @@ Statistics take no label, language, source or id.
 
 Defined cases: a null or empty text has zero statistics and gets a score; rows
 without a label are never trained on; rows that share a doc_id are scored
-separately, and a label of that id counts for each; without labelled rows, or
-with one class only, every score is the share of good labels (0.5 without);
-other columns pass through
-(earlier ``score`` and ``predicted`` columns are replaced).
+separately, and the least of their texts trains with that id's label; without
+labelled rows, or with one class only, every score is the share of good labels
+(0.5 without); other columns pass through (earlier ``score`` and ``predicted``
+columns are replaced).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import crc_mod, tune
+from tessera.llm.common import crc_mod, sampled, tune
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE = 60, 4, 64, 0.2
@@ -166,8 +166,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
     """Trees fitted on at most ``rows`` labelled documents outside the fold."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", held_out[0]) != held_out[1])).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-    # At most ``rows`` pairs of numbers travel; the texts stay where they are.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(_measured, "doc_id long, y double, stats array<float>").toArrow().sort_by("doc_id")
+    # At most ``rows`` pairs of numbers travel, and the texts of these ids.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = sampled(texts, chosen, "text").mapInArrow(_measured, "doc_id long, y double, stats array<float>").toArrow().sort_by("doc_id")
     x = np.array(sample.column("stats").to_pylist(), "f4").reshape(sample.num_rows, len(STATS))
     return fit_trees(x, sample.column("y").to_numpy())
 

@@ -11,13 +11,14 @@ language with enough labelled rows (the common one otherwise); the language
 takes part in that decision only, never in the score.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows (the smallest hashes of
-their ids), a documented bound; scoring reads every whole text.
+their ids), a documented bound of rows, whose texts the driver holds as word
+hashes whatever their length; scoring reads every whole text.
 
 Defined cases: a null or empty text is scored as one without words; null or
 unknown languages use the common threshold; rows without a label are never
-trained on; rows that share a doc_id are scored separately; without labelled
-rows or with one class every score is the share of toxic labels (0 without);
-extra columns are ignored.
+trained on; rows that share a doc_id are scored separately, and the least of
+their texts trains; without labelled rows or with one class every score is the
+share of toxic labels (0 without); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, lists_of, tune
+from tessera.llm.common import crc_mod, lists_of, sampled, tune
 
 TRAIN_ROWS = 10_000
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
@@ -223,7 +224,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, *,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", held_out[0]) == held_out[1]).alias("held_out"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     chosen = known.where(crc_mod("doc_id", held_out[0]) != held_out[1]).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(train_rows)
-    hashed = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_hashed, "doc_id long, lang string, y long, ids array<int>")
+    hashed = sampled(rows, chosen, "text", "lang").mapInArrow(_hashed, "doc_id long, lang string, y long, ids array<int>")
     sample = hashed.toArrow().sort_by("doc_id")
     ids = [x.reshape(-1, 3) for x in lists_of(sample.column("ids"))]
     net = spark.sparkContext.broadcast(train(ids, sample.column("y").to_numpy().astype("f8"), sample.column("lang").to_pylist()))

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import context_tree, embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, queries, token_output, tokens, toxicity
+from tessera.llm import common, context_tree, embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, queries, token_output, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, row long, ids int, n int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -531,6 +531,15 @@ def test_quality_classifier(spark, odd, none):
     assert quality_classifier.score_documents(spark, odd, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
 
 
+def test_samples_are_bounded_by_ids(spark):
+    """An id that a third of all rows share is gathered once."""
+    rows = [(1 if i % 3 else i, f"text {i:04}" if i % 7 else None, None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    chosen = spark.createDataFrame([(1, 1.0), (3, 0.0), (6, 1.0), (10**6, 0.0)], "doc_id long, y double")
+    got = sorted(tuple(r) for r in common.sampled(docs.fillna("", ["text"]), chosen, "text", "lang").collect())
+    assert got == [(1, 1.0, "", None), (3, 0.0, "text 0003", None), (6, 1.0, "text 0006", None)]
+
+
 def test_quality_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
