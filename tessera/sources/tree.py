@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row
 
 
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path of a Hadoop URI."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def write_tree(tiles: DataFrame, out: str, *, column: str, extension: str, description: str, postprocess: Callable[[bytes], bytes] | None = None) -> dict:
     """Write ``out``/z/x/y.extension from the tasks and metadata.json once.
     Files are whole or absent: each is moved into place when complete.
@@ -17,7 +23,7 @@ def write_tree(tiles: DataFrame, out: str, *, column: str, extension: str, descr
     those of the whole tree, earlier runs included."""
 
     def put(rows: Iterator[Row]) -> None:
-        fs, root = pafs.FileSystem.from_uri(out)
+        fs, root = _store(out)
         for r in rows:
             folder = f"{root}/{r['z']}/{r['x']}"
             fs.create_dir(folder, recursive=True)
@@ -28,7 +34,7 @@ def write_tree(tiles: DataFrame, out: str, *, column: str, extension: str, descr
             fs.move(temporary, f"{folder}/{r['y']}.{extension}")
 
     tiles.select("z", "x", "y", column).foreachPartition(put)
-    fs, root = pafs.FileSystem.from_uri(out)
+    fs, root = _store(out)
     fs.create_dir(root, recursive=True)
     zooms = [int(f.base_name) for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.Directory and f.base_name.isdigit()]
     meta = metadata(out.rstrip("/").rsplit("/", 1)[-1], description, min(zooms, default=None), max(zooms, default=None), extension)
