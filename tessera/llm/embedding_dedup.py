@@ -9,8 +9,10 @@ proportion at any size; a shard that does not split any more, a dense group of
 vectors alike, is dealt on to pairs of its blocks, so that a task's memory is
 bounded and every pair of it still meets.  Each shard builds its part of the
 graph: candidate neighbours pruned by the robust rule (a candidate goes when a
-kept neighbour is ``ALPHA`` times closer to it than the node is).  Adjacency
-lists of the shards are united per class.  Every class then searches its
+kept neighbour is ``ALPHA`` times closer to it than the node is), and edges
+back to nodes that few others keep, up to ``DEGREE`` more from each node: in a
+dense group all keep the same middle ones, and two others would never meet.
+Adjacency lists of the shards are united per class.  Every class then searches its
 shards from their medoid with a greedy beam, and from all it finds within the
 range (plus a slack) the search expands along the edges until nothing new lies
 in range.  Found pairs are verified in double precision; a pair that meets in
@@ -43,6 +45,7 @@ SAMPLE, SHARD_SIZE, SHARD_MOST, OVERLAP = 20_000, 1_000, 3_000, 3
 SUB_SAMPLE, FANOUT, SUB_OVERLAP, LEVELS = 2_000, 64, 2, 8
 AUDITED, RECALL_LEAST, TRIES = 256, 0.95, 3
 ALPHA, DEGREE, POOL, BEAM, STEPS, SLACK = 1.2, 24, 64, 8, 24, 0.03
+BACK = (1, 2, 4, 8)
 _QUERIES_AT_ONCE = 256
 
 
@@ -96,6 +99,26 @@ def robust_pruned(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def reachable(graph: np.ndarray) -> np.ndarray:
+    """The graph with edges back from the neighbours of nodes that few others
+    keep: one for each first, then up to the last of ``BACK``."""
+    m = len(graph)
+    kept = np.bincount(graph[graph >= 0], minlength=m)
+    back, used = np.full((m, DEGREE), -1), np.zeros(m, np.int64)
+    for least in BACK:
+        for d in range(graph.shape[1]):
+            node = np.flatnonzero((kept < least) & (graph[:, d] >= 0))
+            at = graph[node, d]
+            order = np.argsort(at, kind="stable")
+            at, node = at[order], node[order]
+            place = used[at] + np.arange(len(at)) - np.searchsorted(at, at)
+            fits = place < DEGREE
+            back[at[fits], place[fits]] = node[fits]
+            used += np.bincount(at[fits], minlength=m)
+            kept[node[fits]] += 1
+    return np.concatenate([graph, back[:, : used.max(initial=0)]], 1)
+
+
 def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, found) pairs of rows at least ``threshold`` similar, by greedy
     beam search from the medoid and expansion along edges within the range."""
@@ -338,7 +361,7 @@ def _links_of(spark: SparkSession, scratch: Scratch, classes: DataFrame, thresho
 
     def build(key, rows):
         x = _vectors(rows.column("embedding"))
-        graph = robust_pruned(x)
+        graph = reachable(robust_pruned(x))
         node = rows.column("node").to_numpy()
         lists = [node[g[g >= 0]] for g in graph]
         return pa.table({"node": pa.array(node), "near": pa.array(lists, pa.list_(pa.int64()))})

@@ -288,6 +288,26 @@ def test_embeddings_in_levels(spark, monkeypatch):
     assert (found <= truth).all() and found.sum() >= 0.9 * truth.sum() and 0.9 <= audit["recall"] <= 1
 
 
+def test_dense_groups_are_reached():
+    """In a group around one middle, pruned lists keep the middle ones only;
+    edges back let the others meet."""
+    e = embedding_dedup
+    rng = np.random.default_rng(7)
+    spread = np.linspace(0, 0.028, 560)[:, None]
+    x = e.unit(np.concatenate([e.unit(rng.normal(size=64)) + spread * rng.normal(size=(560, 64)), rng.normal(size=(440, 64))]))
+    truth = int((x @ x.T >= 0.95).sum()) - len(x)
+
+    def share(graph):
+        a, b = e.range_search(x, graph, np.arange(len(x)), 0.95)
+        return len(set(zip(a, b, strict=True)) | set(zip(b, a, strict=True))) / truth
+
+    pruned = e.robust_pruned(x)
+    graph = e.reachable(pruned)
+    assert truth > 200_000 and share(pruned) < 0.5 and 0.995 <= share(graph) <= 1
+    assert (graph[:, : pruned.shape[1]] == pruned).all() and ((graph >= 0).sum(1) <= 2 * e.DEGREE).all()
+    assert (e.reachable(np.full((1, 1), -1)) == -1).all()
+
+
 # ---- 5 language model ---------------------------------------------------------------
 
 
