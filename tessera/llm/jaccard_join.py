@@ -136,6 +136,14 @@ def _list_costs(small: list[np.ndarray], cells: np.ndarray, total: int, rule: Ru
     return out
 
 
+def _kinds(cell: np.ndarray, n: np.ndarray, mean: float) -> np.ndarray:
+    """Class of each sketch cell; only cells that stand out are computed with,
+    so that the driver holds one byte for each of the others."""
+    out = np.zeros(SKETCH, "u1")
+    out[cell] = np.clip(2 * np.log2(1 + n.astype("f4") / np.float32(mean + 8)), 0, 120)
+    return out
+
+
 def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each sketch cell (0 = not frequent), the histogram of small
     set sizes and the cost of their lists; all of fixed size.
@@ -165,12 +173,10 @@ def _sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.nda
     sums = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
     small = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
-    counts = np.zeros(SKETCH, "f4")
-    counts[cell[cell >= 0]] = n[cell >= 0]
-    mean = small.get(-1, 0) / SKETCH
+    kinds = _kinds(cell[cell >= 0], n[cell >= 0], small.get(-1, 0) / SKETCH)
     sizes, postings, entries = np.array([small.get(-3 - k, 0) for k in range(3 * (MOST_LIGHT + 1))], "f8").reshape(3, -1)
     # Lists are as much longer over all tasks as they are in one.
-    return np.clip(2 * np.log2(1 + counts / np.float32(mean + 8)), 0, 120).astype("u1"), sizes, postings + small.get(-2, 0) * entries
+    return kinds, sizes, postings + small.get(-2, 0) * entries
 
 
 def _boundary(rule: Rule, sizes: np.ndarray, costs: np.ndarray) -> int:
@@ -291,8 +297,8 @@ def _verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, classes: D
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_BLOOM))
     bits = np.zeros(_BLOOM // 64, "i8")
     words = wanted.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS int)))").alias("v"))
-    for r in words.toLocalIterator():  # at most _BLOOM / 64 words
-        bits[r["w"]] = r["v"]
+    held = words.toArrow()  # at most _BLOOM / 64 rows, and one job
+    bits[held.column("w").to_numpy()] = held.column("v").to_numpy()
     bloom = spark.sparkContext.broadcast(bits.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ repeated rows, empty tables, extra columns."""
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, context_tree, embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, queries, token_output, tokens, toxicity
+from tessera.llm import common, components, context_tree, embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, queries, token_output, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, row long, ids int, n int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -242,6 +243,43 @@ def test_jaccard_parts(spark, none):
     assert set(jaccard_join._light_keys(s, rule)) & set(jaccard_join._light_keys(s[1:], rule))
 
 
+def test_sketch_is_small_on_the_driver():
+    """A byte for each cell and a few for those that stand out, not several
+    arrays of floats."""
+    j = jaccard_join
+    rng = np.random.default_rng(3)
+    cell = rng.choice(j.SKETCH, 20_000, replace=False)
+    n = rng.integers(1, 1 << 40, len(cell))
+    counts = np.zeros(j.SKETCH, "f4")
+    counts[cell] = n
+    direct = np.clip(2 * np.log2(1 + counts / np.float32(3.5 + 8)), 0, 120).astype("u1")
+    tracemalloc.start()
+    got = j._kinds(cell, n, 3.5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == direct).all() and most < 2 * j.SKETCH
+
+
+def test_components_of_few_links_on_the_driver(spark, monkeypatch):
+    """Few links take no rounds over tables; both ways agree."""
+    rng = np.random.default_rng(9)
+    chain = [(i, i + 1) for i in range(1000, 1300)] + [(3000 - 2 * i, 2998 - 2 * i) for i in range(200)]
+    links = chain + [(int(a), int(b)) for a, b in rng.integers(0, 300, (120, 2))] + [(1 << 60, 5), (7, 7), (777_777, 777_777)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = []
+    for few in (components.FEW_LINKS, 0):
+        monkeypatch.setattr(components, "FEW_LINKS", few)
+        saved = []
+        scratch = common.Scratch(spark, "test")
+        save = scratch.save
+        scratch.save = lambda df, name, save=save, saved=saved: saved.append(name) or save(df, name)
+        found.append({r["node"]: r["label"] for r in components.connected_components(scratch, frame).collect()})
+        assert (len(saved) == 1) == (few > 0)
+    assert found[0] == found[1] and 777_777 not in found[0] and found[0][1300] == 1000
+    monkeypatch.undo()
+    assert components.connected_components(scratch, frame.limit(0)).collect() == []
+
+
 # ---- 4 embeddings ----------------------------------------------------------------
 
 
