@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import mercator, morton
@@ -35,14 +35,34 @@ def points_near(points: DataFrame, tiles: list[Tile], spread: int = 0) -> DataFr
     return points.where(morton.in_ranges(F.col("qkey"), ranges))
 
 
+def bordering(tiles: list[Tile]) -> list[Tile]:
+    """Tiles of one zoom and those east and south of them, whose first row and
+    column of places lie on the border of a tile, which counts as inside."""
+    out = {(z, x + i, y + j) for z, x, y in tiles for i in (0, 1) for j in (0, 1)}
+    return sorted(t for t in out if t[1] < 1 << t[0] and t[2] < 1 << t[0])
+
+
+#: Tiles of a request that go to every task of a join.
+SENT = 20_000
+
+
+def listed(spark: SparkSession, tiles: list[Tile]) -> DataFrame:
+    """Rows z, x, y of a request.  They are sent to the rows they are joined
+    with, so that what lies in one tile is not gathered in one task."""
+    rows = spark.createDataFrame(tiles, "z int, x long, y long")
+    return F.broadcast(rows) if len(tiles) <= SENT else rows
+
+
 def lines_near(lines: DataFrame, tiles: list[Tile], deepest: int | None = None) -> DataFrame:
     """Lines that may meet tiles of one zoom, by folder and key range: those
-    that start in a tile, and per level above it those of its ancestors."""
+    that start in a tile or one that borders on it, and per level above it
+    those of its ancestors."""
     z = tiles[0][0]
     key, level = F.col("qkey"), F.col("level")
     below = level > z
     if deepest is not None:
         below = below & (level <= z + deepest)
+    tiles = bordering(tiles)
     own = [morton.tile_range(*t) for t in tiles]
     found = below & morton.in_ranges(key, morton.merged_ranges(own)) if z else below
     for up in range(z + 1):
@@ -61,33 +81,39 @@ def points_of_tiles(points: DataFrame, tiles: DataFrame, zooms: list[int]) -> Da
 
 
 def lines_of_tiles(lines: DataFrame, tiles: DataFrame, *, mapbits: int = 48, deepest: int | None = None, zooms: list[int] | None = None) -> DataFrame:
-    """(tile, line) pairs that meet: two equi-joins on the prefix, then the
+    """(tile, line) pairs that meet: one equi-join on the prefix, then the
     exact test.
 
-    A line whose enclosing tile lies below a tile starts with its prefix; one
-    whose enclosing tile lies at or above it is found through that ancestor.
+    A line is found by the tile that encloses it, cut to the zoom of the tiles
+    where it lies below: that is a tile itself, an ancestor, or the same of the
+    tiles east and south of it, whose lines may touch its border.
     ``deepest`` leaves out lines whose enclosing tile is so many zooms below
     that they would be less than a pixel.
     """
     if zooms is None:
         zooms = [r["z"] for r in tiles.select("z").distinct().collect()]  # a few zooms
-    first = F.col("verts")[0]
-    own = tiles.select("z", "x", "y")
-    below = lines.where(F.col("level") > min(zooms, default=0)).withColumn("z", F.explode(F.array(*(F.lit(z) for z in zooms))))
-    below = below.where(F.col("level") > F.col("z"))
+    near = F.expr("transform(sequence(0, 3), k -> named_struct('x', x + k % 2, 'y', y + k div 2))")
+    enclosing = F.expr("array_distinct(transform(_near, t -> named_struct('ax', shiftrightunsigned(t.x, z - _up), 'ay', shiftrightunsigned(t.y, z - _up))))")
+    own = tiles.select("z", "x", "y", near.alias("_near"), F.explode(F.sequence(F.lit(0), F.least("z", F.lit(mapbits // 2)))).alias("_up"))
+    own = own.select("z", "x", "y", "_up", F.explode(enclosing).alias("_e")).select("z", "x", "y", "_up", "_e.*")
+    first, last = F.col("verts")[0], F.element_at("verts", -1)
+    at = lines.withColumn("z", F.explode(F.array(*(F.lit(z) for z in zooms))))
     if deepest is not None:
-        below = below.where(F.col("level") <= F.col("z") + deepest)
-    below = below.withColumns({"x": mercator.tile_of(first["x"], F.col("z")), "y": mercator.tile_of(first["y"], F.col("z"))}).join(own, ["z", "x", "y"])
-    above = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.least("z", F.lit(mapbits // 2)))))
-    shift = (F.col("z") - F.col("level")).cast("int")
-    above = above.withColumns({"ax": F.call_function("shiftrightunsigned", F.col("x"), shift), "ay": F.call_function("shiftrightunsigned", F.col("y"), shift)})
-    placed = lines.withColumns({"ax": mercator.tile_of(first["x"], F.col("level")), "ay": mercator.tile_of(first["y"], F.col("level"))})
-    above = placed.join(above, ["level", "ax", "ay"]).drop("ax", "ay")
-    both = below.unionByName(above.select(below.columns))
+        at = at.where(F.col("level") <= F.col("z") + deepest)
+    at = at.withColumn("_up", F.least("level", "z"))
+    placed = at.withColumns({"ax": mercator.tile_of(first["x"], F.col("_up")), "ay": mercator.tile_of(first["y"], F.col("_up"))})
+    both = placed.join(own, ["z", "_up", "ax", "ay"]).drop("_up", "ax", "ay")
     size = F.pow(F.lit(2.0), 32 - F.col("z"))
     part = lambda v, c: (v[c] - F.col(c) * size) / size
     met = F.exists(F.sequence(F.lit(1), F.size("verts") - 1), lambda i: touches(part(F.col("verts")[i - 1], "x"), part(F.col("verts")[i - 1], "y"), part(F.col("verts")[i], "x"), part(F.col("verts")[i], "y"), 0.0, 1.0, 1.0))
-    return both.where(met)
+    # Most lines are told by their ends alone, in whole numbers.
+    bits = (F.lit(32) - F.col("z")).cast("int")
+    low = lambda c: F.call_function("shiftleft", F.col(c), bits)
+    high = lambda c: F.call_function("shiftleft", F.col(c) + 1, bits)
+    inside = lambda v: v["x"].between(low("x"), high("x")) & v["y"].between(low("y"), high("y"))
+    beside = lambda c: (F.greatest(first[c], last[c]) < low(c)) | (F.least(first[c], last[c]) > high(c))
+    apart = (F.size("verts") == 2) & (beside("x") | beside("y"))
+    return both.where((F.size("verts") > 1) & (inside(first) | inside(last) | (~apart & met)))
 
 
 def sampled(ranked: DataFrame, step: int) -> DataFrame:

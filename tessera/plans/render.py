@@ -92,8 +92,7 @@ def point_dots(ds: Dataset, asked: list[Tile], s: Style, y: int | None = None, *
     if wide:
         own = F.lit(reach) + (F.sqrt(F.col("meta") * look.brush / math.pi) if by_meta else 0.0)
         dots = raster.with_neighbours(dots, s.tilesize, own, z)
-    listed = dots.sparkSession.createDataFrame(asked, "z int, x long, y long")
-    return Dots(dots.join(listed, KEYS), look, scatter, inner, by_meta)
+    return Dots(dots.join(tiles.listed(dots.sparkSession, asked), KEYS), look, scatter, inner, by_meta)
 
 
 def point_pixels(ds: Dataset, asked: list[Tile], s: Style, y: int | None = None) -> DataFrame:
@@ -115,7 +114,7 @@ def point_pixels(ds: Dataset, asked: list[Tile], s: Style, y: int | None = None)
 def tile_segments(ds: Dataset, asked: list[Tile], s: Style) -> DataFrame:
     """Segments of lines that meet the tiles (of one zoom), in their pixels."""
     z, spark = asked[0][0], ds.stored.sparkSession
-    listed = spark.createDataFrame(asked, "z int, x long, y long")
+    listed = tiles.listed(spark, asked)
     near = tiles.lines_near(style.drawn_metas(ds.lines, s), asked, DEEPEST)
     lines = tiles.lines_of_tiles(near, listed, mapbits=ds.mapbits, deepest=DEEPEST, zooms=[z])
     pair = F.transform(F.sequence(F.lit(1), F.size("verts") - 1), lambda i: F.struct(*(F.col("verts")[i - 1 + k][c].alias(f"{c}{k}") for c in "xy" for k in (0, 1))))
@@ -230,7 +229,7 @@ def dump(spark: SparkSession, request: Request, *, geojson: bool = False) -> Dat
     """Shapes that meet any of the tiles, each record once per data set, as
     lines."""
     asked, out = tiles.without_nested(list(request.tiles)), []
-    listed = spark.createDataFrame(asked, "z int, x long, y long")
+    listed = tiles.listed(spark, asked)
     groups = [[t for t in asked if t[0] == z] for z in sorted({t[0] for t in asked})]
     for ds in request.datasets:
         # No listed tile lies in another, so a point is in one at most.

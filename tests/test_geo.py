@@ -88,6 +88,31 @@ def test_requests_read_key_ranges(spark, tmp_path):
     assert morton.merged_ranges([(0, 3), (4, 7), (20, 21), (10, 12)], 2) == [(0, 12), (20, 21)]
 
 
+def test_lines_on_the_border_of_a_tile(spark, tmp_path):
+    """Borders count as inside, also for lines that lie in the next tile."""
+    from tessera.plans import render
+
+    edge, deep = 6 << 28, 1 << 10
+    rows = [([(edge + deep, 1 << 28), (edge, 1 << 28)], 1), ([(5 << 28, 2 << 28), (5 << 28, (2 << 28) + deep)], 2), ([(edge + deep, 1 << 28), (edge + 256, 1 << 28)], 3), ([(edge + deep, (2 << 28) + deep), (edge, 2 << 28)], 4)]
+    dataset.write_dataset(spark.createDataFrame(rows, "verts array<struct<x:bigint,y:bigint>>, meta bigint"), f"file://{tmp_path}/e", metabits=8)
+    ds = dataset.Dataset(spark, f"file://{tmp_path}/e")
+    got = tiles.lines_of_tiles(ds.lines, tiles.listed(spark, [(4, 5, 1)])).collect()
+    assert sorted(r["meta"] for r in got) == [1, 2, 4]
+    assert render.dump(spark, render.Request((ds,), ((4, 5, 1),))).count() == 3
+
+
+def test_requests_are_sent_to_their_rows(spark, tmp_path):
+    """No shuffle by tile: one tile may hold most of the rows."""
+    from tessera.plans import render
+
+    rows = [([(1 << 28, 1 << 28), (1 << 29, 1 << 28)], 2), ([(1 << 28, 1 << 28)], 3)]
+    dataset.write_dataset(spark.createDataFrame(rows, "verts array<struct<x:bigint,y:bigint>>, meta bigint"), f"file://{tmp_path}/s", metabits=8)
+    ds = dataset.Dataset(spark, f"file://{tmp_path}/s")
+    for frame in (render.point_dots(ds, [(4, 1, 1)], style.Style()).rows, render.tile_segments(ds, [(4, 1, 1)], style.Style())):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and frame.count() == 1
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 24), st.data())
 def test_tile_range_is_prefix(z, data):
