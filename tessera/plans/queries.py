@@ -276,7 +276,7 @@ def _meets(x0: str, y0: str, x1: str, y1: str) -> str:
 
 @query(f"{with_('tp', 'seg')[:-1]}, {_TILE_LIST} select z, cast(x as bigint) as x, cast(y as bigint) as y, user_id, seq from (select tl.z, tl.x, tl.y, user_id, seq, x0/pow(2.0, 32-tl.z) - tl.x as a, y0/pow(2.0, 32-tl.z) - tl.y as b, x1/pow(2.0, 32-tl.z) - tl.x as c, y1/pow(2.0, 32-tl.z) - tl.y as d from seg, tl) where {_meets('a', 'b', 'c', 'd')}")
 def tile_lines(spark, sf_dir):
-    listed = spark.createDataFrame([(11, 327, 791), (11, 327, 792), (12, 654, 1583), (13, 1309, 3166), (14, 2618, 6333)], "z int, x long, y long")
+    listed = tiles.listed(spark, [(11, 327, 791), (11, 327, 792), (12, 654, 1583), (13, 1309, 3166), (14, 2618, 6333)])
     lines = _pair_shapes(spark, sf_dir).withColumn("level", shapes.level(F.col("verts"), 64)).withColumn("legs", F.lit(2))
     return tiles.lines_of_tiles(lines, listed, mapbits=64).select("z", "x", "y", "user_id", F.col("seq").cast("long").alias("seq"))
 
