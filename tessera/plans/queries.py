@@ -805,21 +805,41 @@ def _vector(spark, sf_dir) -> DataFrame:
 
 
 def _features(tiles_: DataFrame) -> DataFrame:
-    """Points (with the number of their feature among those of the meta) and
-    lines (-1) of encoded vector tiles."""
+    """Points (with their number among those of their cell and meta, in the
+    order of the features, of which none has two) and lines (-1) of encoded
+    vector tiles."""
+    names = ["z", "x", "y", "kind", "meta", "feature", "vx0", "vy0", "vx1", "vy1"]
 
     def read(batches):
         for b in batches:
             for z, x, y, tile in zip(b.z, b.x, b.y, b.tile, strict=True):
-                rows, seen = [], {}
-                for layer, features in encoders.read_vector_tile(bytes(tile)).items():
-                    for meta, commands in features:
-                        k = seen[meta] = seen.get(meta, -1) + 1 if layer == "points" else -1
-                        for (_, ax, ay), (c, bx, by) in zip(commands, commands[1:]):  # noqa: B905
-                            if c == encoders.LINE_TO:
-                                rows.append((z, x, y, "point" if k >= 0 else "line", meta, k, ax, ay, *((ax, ay) if k >= 0 else (bx, by))))
-                        seen = seen if layer == "points" else {}
-                yield pd.DataFrame(rows, columns=["z", "x", "y", "kind", "meta", "feature", "vx0", "vy0", "vx1", "vy1"])
+                seen, held, n = {}, [], 0
+                for layer, meta, path in encoders.tile_features(bytes(tile)):
+                    if layer == "points":
+                        v = encoders.read_points(path)
+                        cell = (v[:, 0] * encoders.CELLS // encoders.EXTENT) * encoders.CELLS + v[:, 1] * encoders.CELLS // encoders.EXTENT
+                        if len(np.unique(cell)) < len(cell):
+                            raise ValueError(f"a feature of {z}/{x}/{y} has two points of one cell")
+                        count = seen.setdefault(meta, np.zeros(encoders.CELLS**2, np.int64))
+                        held.append((True, meta, count[cell], np.concatenate([v, v], 1)))
+                        count[cell] += 1
+                    else:
+                        path = encoders.read_commands(path)
+                        v = np.array([(*a[1:], *e[1:]) for a, e in zip(path, path[1:]) if e[0] == encoders.LINE_TO], np.int64)  # noqa: B905
+                        held.append((False, meta, np.full(len(v), -1), v))
+                    n += len(v)
+                    if n >= 100_000:
+                        yield rows_of(z, x, y, held)
+                        held, n = [], 0
+                if held:
+                    yield rows_of(z, x, y, held)
+
+    def rows_of(z, x, y, held):
+        sizes = [len(h[3]) for h in held]
+        kind = np.repeat(np.array(["point" if h[0] else "line" for h in held], object), sizes)
+        place = np.concatenate([h[3] for h in held])
+        columns = (np.int32(z), x, y, kind, np.repeat([h[1] for h in held], sizes), np.concatenate([h[2] for h in held]), *place.T)
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
 
     return tiles_.mapInPandas(read, "z int, x long, y long, kind string, meta long, feature long, vx0 long, vy0 long, vx1 long, vy1 long")
 

@@ -197,6 +197,25 @@ def test_layers_do_not_touch():
     assert [len(x) for x in encoders.layered([*same, (4000, 0, 4000, 500), (7, 7, 7, 7)])] == [2, 1, 1]
 
 
+def test_crowded_tile_is_packed_in_parts(spark):
+    """A crowd of crossing lines is dealt in seconds, and whole."""
+    import time
+
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 4096, (9_000, 4))
+    began = time.time()
+    layers = encoders.layered(v)
+    assert time.time() - began < 15
+    assert sorted(map(tuple, np.concatenate(layers).tolist())) == sorted(map(tuple, v.tolist()))
+    for x in (layers[0], layers[-1]):
+        cells, sizes = encoders._cells(x * encoders.CELLS // encoders.EXTENT)
+        assert len(set(cells)) == len(cells) and len(sizes) == len(x)
+    rows = spark.range(25_000).selectExpr("11 AS z", "1L AS x", "2L AS y", "id % 2 AS meta", "'line' AS kind", "0L AS feature", "id % 4096 AS vx0", "id % 61 AS vy0", "id % 4096 + 1 AS vx1", "id % 61 AS vy1")
+    tile = encoders.vector_tiles(rows).collect()[0]["tile"]
+    ends = [c for _, _, path in encoders.tile_features(bytes(tile)) for c in encoders.read_commands(path) if c[0] == encoders.LINE_TO]
+    assert len(ends) == 25_000
+
+
 def test_crowded_cell_keeps_every_point(spark, monkeypatch):
     from tessera.plans import queries
 
