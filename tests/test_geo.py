@@ -216,6 +216,15 @@ def test_crowded_tile_is_packed_in_parts(spark):
     assert len(ends) == 25_000
 
 
+def test_features_beyond_their_room_keep_the_numbers_of_sql(spark):
+    """A meta with a point in more cells than a feature holds."""
+    from tessera.plans import queries
+
+    points = spark.range(24_000).selectExpr("11 AS z", "1L AS x", "2L AS y", "4L AS meta", "'point' AS kind", "id div 12000 AS feature", *(f"{c} AS {n}{k}" for k in (0, 1) for n, c in (("vx", "id % 12000 div 256 * 16"), ("vy", "id % 12000 % 256 * 16"))))
+    got = queries._features(encoders.vector_tiles(points))
+    assert got.exceptAll(points.select(got.columns)).count() == 0 and got.count() == 24_000
+
+
 def test_crowded_cell_keeps_every_point(spark, monkeypatch):
     from tessera.plans import queries
 
