@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.mercator import MAX_LAT, unproject
 
-_NUMBER = r"[+-]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][+-]?\\d+)?"
-_POINT = rf"^{_NUMBER},{_NUMBER}$"
-#: A meta beyond 64 bits counts as the nearest number that fits.
-_SATURATED = "IF(split(t, ':')[1] LIKE '-%', -9223372036854775807L - 1L, 9223372036854775807L)"
-_META = r"^(?:\\d+)?:-?\\d+$"
+_NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
+#: A point or a meta; a line break may end the last token of a line.
+_TOKEN = re.compile(rf"(?:({_NUMBER}),({_NUMBER})|(\d+)?:(-?\d+))(?:\r\n|[\r\n])?", re.ASCII)
+_LONG, _WORD = (1 << 63) - 1, (1 << 64) - 1
+_PARSED = "verts array<struct<lat: double, lon: double>>, n int, meta long, overflow boolean"
+_VERT = pa.struct([("lat", pa.float64()), ("lon", pa.float64())])
+
+
+def _packed(metas: list[tuple[str | None, str]], metabits: int) -> tuple[int, bool]:
+    """Metas (bits, value) as one number, and whether any does not fit; a
+    shorter total is left-aligned."""
+    limit = (1 << metabits) - 1 if metabits < 63 else _LONG
+    out, used, overflow = 0, 0, False
+    for b, v in metas:
+        bits, value = int(b) if b else metabits, int(v)
+        if bits > 0x7FFFFFFF:
+            bits = metabits
+        # A meta beyond 64 bits counts as the nearest number that fits.
+        kept = min(max(value, -_LONG - 1), _LONG)
+        overflow = overflow or kept != value or kept > limit
+        if used < metabits:
+            take = min(bits, metabits - used)
+            low = kept & ((1 << bits) - 1 if bits < 64 else _WORD)
+            out, used = (out << (take & 63) | low >> (bits - take & 63)) & _WORD, used + take
+    out = out << (metabits - used & 63) & _WORD
+    return out - (1 << 64) if out > _LONG else out, overflow
 
 
 def parse_shapes(lines: DataFrame, metabits: int = 0, *, line_col: str = "value") -> DataFrame:
@@ -27,21 +52,39 @@ def parse_shapes(lines: DataFrame, metabits: int = 0, *, line_col: str = "value"
     that do not fit (those beyond 64 bits count as the nearest that do).  Lines without a point
     are dropped.  Everything happens within a row; nothing is shuffled.
     """
-    tokens = F.expr(f"filter(split({line_col}, ' +'), t -> t <> '')")
-    rows = lines.withColumn("_tokens", tokens)
-    stop = F.expr(f"array_position(transform(_tokens, t -> NOT (t RLIKE '{_POINT}' OR t RLIKE '{_META}')), true)")
-    rows = rows.withColumn("_tokens", F.when(stop == 0, F.col("_tokens")).otherwise(F.slice("_tokens", F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))))
-    points = F.expr("transform(filter(_tokens, t -> t LIKE '%,%'), t -> named_struct('lat', CAST(split(t, ',')[0] AS double), 'lon', CAST(split(t, ',')[1] AS double)))")
-    metas = F.expr(f"transform(filter(_tokens, t -> t NOT LIKE '%,%'), t -> named_struct('bits', coalesce(try_cast(nullif(split(t, ':')[0], '') AS int), {metabits}), 'v', coalesce(try_cast(split(t, ':')[1] AS bigint), {_SATURATED}), 'wide', try_cast(split(t, ':')[1] AS bigint) IS NULL))")
-    rows = rows.withColumn("verts", points).withColumn("_metas", metas).where(F.size("verts") > 0)
-    # Bits are packed until metabits are full; a shorter total is left-aligned.
-    take = f"least(m.bits, {metabits} - acc.used)"
-    low = "(m.v & IF(m.bits >= 64, -1L, shiftleft(1L, m.bits) - 1))"
-    packed = f"aggregate(_metas, named_struct('v', 0L, 'used', 0), (acc, m) -> IF(acc.used >= {metabits}, acc, named_struct('v', shiftleft(acc.v, {take}) | shiftrightunsigned({low}, m.bits - {take}), 'used', acc.used + {take})), acc -> shiftleft(acc.v, {metabits} - acc.used))"
-    meta = F.expr(packed) if metabits else F.lit(0).cast("long")
-    limit = (1 << metabits) - 1 if metabits < 63 else (1 << 63) - 1
-    overflow = F.expr(f"exists(_metas, m -> m.wide OR m.v > {limit}L)")
-    return rows.withColumns({"n": F.size("verts"), "meta": meta, "overflow": overflow}).drop("_tokens", "_metas")
+    at = lines.columns.index(line_col)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = _TOKEN.fullmatch
+        for batch in batches:
+            kept, ends, lats, lons, packed, wide = [], [0], [], [], [], []
+            for row, line in enumerate(batch.column(at).to_pylist()):
+                metas = []
+                for token in line.split(" ") if line else ():
+                    if token:
+                        found = match(token)
+                        if found is None:
+                            break
+                        lat, lon, bits, value = found.groups()
+                        if lat is None:
+                            metas.append((bits, value))
+                        else:
+                            lats.append(lat)
+                            lons.append(lon)
+                if len(lats) > ends[-1]:
+                    kept.append(row)
+                    ends.append(len(lats))
+                    meta, overflow = _packed(metas, metabits) if metas else (0, False)
+                    packed.append(meta if metabits else 0)
+                    wide.append(overflow)
+            vert = pa.StructArray.from_arrays([pa.array(map(float, v), pa.float64(), size=len(v)) for v in (lats, lons)], fields=list(_VERT))
+            verts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), vert)
+            added = [verts, pa.array(np.diff(ends).astype("i4")), pa.array(packed, pa.int64()), pa.array(wide, pa.bool_())]
+            own = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *added], [*own.schema.names, "verts", "n", "meta", "overflow"])
+
+    schema = StructType([*lines.schema.fields, *StructType.fromDDL(_PARSED).fields])
+    return lines.mapInArrow(parse, schema)
 
 
 def valid_shapes() -> Column:

@@ -267,6 +267,13 @@ def test_meta_beyond_64_bits(spark):
     assert [r["overflow"] for r in rows] == [True, True, False] and rows[2]["meta"] == 5
 
 
+def test_parser_takes_metas_of_63_bits_and_long_lines(spark):
+    """In one pass of a worker, without an array of tokens per row."""
+    rows = text.parse_shapes(lines(spark, "1,2 63:5", "1,2 " * 50_000 + ":9"), 8)
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["n"], r["meta"], r["overflow"]) for r in rows.collect()) == [(1, 0, False), (50_000, 9, False)]
+
+
 def test_scatter_carries_remainders(spark):
     """100 records of meta 3 at step 4: about 75 dots."""
     dots = spark.range(100).selectExpr("id AS rank", "3L AS meta", "11 AS z", "327L AS x", "791L AS y", "0.5D AS fx", "0.5D AS fy", "-1D AS hue")
