@@ -29,10 +29,15 @@ def accumulate(pixels: DataFrame, keys: list[str], size: int | None = None, *, h
 
 def splat(dots: DataFrame, x: Column, y: Column, b: Column) -> DataFrame:
     """Bilinear light of a dot at (x, y) on its four pixels: px, py, b."""
-    fx, fy = x - F.floor(x), y - F.floor(y)
-    cells = [F.struct((F.floor(x) + i).cast("long").alias("px"), (F.floor(y) + j).cast("long").alias("py"), (b * (fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("b")) for i in (0, 1) for j in (0, 1)]
     kept = [c for c in dots.columns if c not in ("px", "py", "b")]
-    return dots.select(*kept, F.explode(F.array(*cells)).alias("_c")).select(*kept, "_c.px", "_c.py", "_c.b")
+    # Computed once per dot.
+    whole = lambda v: F.floor(v).cast("long")
+    dot = F.struct(whole(x).alias("x"), whole(y).alias("y"), (x - F.floor(x)).alias("fx"), (y - F.floor(y)).alias("fy"), b.alias("b"))
+    rows = dots.select(*kept, F.explode(F.array(dot)).alias("_d"))
+    rows = rows.select(*kept, "_d", F.explode(F.array(*map(F.lit, range(4)))).alias("_c"))
+    i, j = F.shiftright("_c", 1), F.col("_c").bitwiseAND(1)
+    part = lambda f, k: F.when(k == 1, F.col(f"_d.{f}")).otherwise(1 - F.col(f"_d.{f}"))
+    return rows.select(*kept, (F.col("_d.x") + i).alias("px"), (F.col("_d.y") + j).alias("py"), (F.col("_d.b") * part("fx", i) * part("fy", j)).alias("b"))
 
 
 def draw_points(dots: DataFrame, tilesize: int, bright: Column) -> DataFrame:
@@ -104,6 +109,15 @@ def with_neighbours(dots: DataFrame, tilesize: int, reach: float | Column, z: in
     return rows.where(F.col("x").between(0, last) & F.col("y").between(0, last)).drop("_i", "_j")
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with these columns, each computed once per row: an array of one is
+    a fence, so that what follows refers to values, not to the expressions
+    behind them, which would be repeated in every use."""
+    kept = [c for c in rows.columns if c not in columns]
+    fence = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return rows.select(*kept, F.explode(F.array(fence)).alias("_f")).select(*kept, *(F.col(f"_f.{n}").alias(n) for n in columns))
+
+
 def clipped(segs: DataFrame, low: float, high: float) -> DataFrame:
     """Segments x0, y0, x1, y1 cut to the square [low, high]; those outside go."""
     lo, hi, inside = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
@@ -114,9 +128,10 @@ def clipped(segs: DataFrame, low: float, high: float) -> DataFrame:
         lo.append(F.least(t0, t1))
         hi.append(F.greatest(t0, t1))
         inside = inside & ((F.col(a) != F.col(b)) | F.col(a).between(low, high))
-    rows = segs.where(inside).withColumns({"_lo": F.greatest(*lo), "_hi": F.least(*hi)}).where("_lo <= _hi")
+    rows = computed(segs, **{c: F.col(c) for c in ("x0", "y0", "x1", "y1")}).where(inside)
+    rows = computed(rows, _lo=F.greatest(*lo), _hi=F.least(*hi)).where("_lo <= _hi")
     cut = {f"{c}{k}": F.col(f"{c}0") + F.col(t) * (F.col(f"{c}1") - F.col(f"{c}0")) for c in "xy" for k, t in ((0, "_lo"), (1, "_hi"))}
-    return rows.withColumns(cut).drop("_lo", "_hi")
+    return computed(rows, **cut).drop("_lo", "_hi")
 
 
 def draw_lines(segs: DataFrame, bright: Column) -> DataFrame:
@@ -125,22 +140,20 @@ def draw_lines(segs: DataFrame, bright: Column) -> DataFrame:
     steep = F.abs(F.col("y1") - F.col("y0")) > F.abs(F.col("x1") - F.col("x0"))
     ends = lambda *names: F.struct(*(F.col(n).alias(a) for n, a in zip(names, "acbd", strict=True)))
     along = F.when(steep, ends("y0", "x0", "y1", "x1")).otherwise(ends("x0", "y0", "x1", "y1"))
-    # An array of one is a fence: what follows refers to values, not to the
-    # expressions behind them.
-    rows = segs.select(*(c for c in segs.columns if c not in ("x0", "y0", "x1", "y1", "b")), steep.alias("_s"), bright.alias("b"), F.explode(F.array(along)).alias("_e"))
+    rows = computed(segs, _s=steep, b=bright, _e=along).drop("x0", "y0", "x1", "y1")
     back = F.col("_e.a") > F.col("_e.b")
     pick = lambda a, b: F.when(back, F.col(f"_e.{a}")).otherwise(F.col(f"_e.{b}"))
-    rows = rows.withColumns({"_a": pick("b", "a"), "_b": pick("a", "b"), "_c": pick("d", "c"), "_d": pick("c", "d")}).drop("_e").where("_b > _a")
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.floor("_a").cast("long"), F.floor("_b").cast("long"))))
+    rows = computed(rows, _a=pick("b", "a"), _b=pick("a", "b"), _c=pick("d", "c"), _d=pick("c", "d")).drop("_e").where("_b > _a")
+    # Two pixels a step, numbered in one sequence.
+    rows = rows.withColumn("_n", F.explode(F.sequence(2 * F.floor("_a").cast("long"), 2 * F.floor("_b").cast("long") + 1)))
+    rows = rows.withColumns({"_i": F.shiftright("_n", 1), "_k": F.col("_n").bitwiseAND(1)})
     start, end = F.greatest("_a", F.col("_i").cast("double")), F.least("_b", (F.col("_i") + 1).cast("double"))
     across = F.col("_c") + ((start + end) / 2 - F.col("_a")) * (F.col("_d") - F.col("_c")) / (F.col("_b") - F.col("_a"))
-    rows = rows.withColumns({"_w": end - start, "_y": across}).where("_w > 0")
-    part, floor = F.col("_y") - F.floor("_y"), F.floor("_y").cast("long")
-    light = F.col("b") * F.col("_w")
-    cells = F.array(F.struct(floor.alias("c"), (light * (1 - part)).alias("b")), F.struct((floor + 1).alias("c"), (light * part).alias("b")))
+    rows = computed(rows, _w=end - start, _y=across).where("_w > 0")
+    part, cell = F.col("_y") - F.floor("_y"), F.floor("_y").cast("long") + F.col("_k")
+    light = F.col("b") * F.col("_w") * F.when(F.col("_k") == 1, part).otherwise(1 - part)
     kept = [c for c in segs.columns if c not in ("x0", "y0", "x1", "y1", "b")]
-    out = rows.select(*kept, "_s", "_i", F.explode(cells).alias("_p"))
-    return out.select(*kept, F.when(F.col("_s"), F.col("_p.c")).otherwise(F.col("_i")).alias("px"), F.when(F.col("_s"), F.col("_i")).otherwise(F.col("_p.c")).alias("py"), F.col("_p.b").alias("b"))
+    return rows.select(*kept, F.when(F.col("_s"), cell).otherwise(F.col("_i")).alias("px"), F.when(F.col("_s"), F.col("_i")).otherwise(cell).alias("py"), light.alias("b"))
 
 
 def offsets(thick: float) -> list[tuple[float, float]]:

@@ -274,6 +274,13 @@ def test_parser_takes_metas_of_63_bits_and_long_lines(spark):
     assert sorted((r["n"], r["meta"], r["overflow"]) for r in rows.collect()) == [(1, 0, False), (50_000, 9, False)]
 
 
+def test_clipping_is_computed_once_per_segment(spark):
+    """The plan of a thick line stays small: no value is repeated by its uses."""
+    segs = spark.range(1).selectExpr("id + 1.5D AS x0", "id + 2.5D AS y0", "id + 400D AS x1", "id + 90D AS y1")
+    drawn = raster.draw_thick_lines(raster.clipped(segs, -5.0, 260.0), F.lit(0.4), 3.5)
+    assert len(drawn._jdf.queryExecution().optimizedPlan().toString()) < 12_000 and drawn.count() > 1_000
+
+
 def test_scatter_carries_remainders(spark):
     """100 records of meta 3 at step 4: about 75 dots."""
     dots = spark.range(100).selectExpr("id AS rank", "3L AS meta", "11 AS z", "327L AS x", "791L AS y", "0.5D AS fx", "0.5D AS fy", "-1D AS hue")
